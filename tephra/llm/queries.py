@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tephra.llm import bpe, langid, mixing, ngram_join
+from tephra.llm import bpe, langid, mixing, ngram_join, suffix_array, suffix_tree
 from tephra.llm.frames import documents
 
 
@@ -17,7 +17,9 @@ def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_mix_sources": _mix,
+    "op5_substring_dedup": suffix_tree.query,
     "op7_language_id": langid.query,
+    "op8_suffix_array_dedup": suffix_array.query,
     "op9_byte_bpe": bpe.query,
 }
 
