@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,39 +32,39 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((l, begin))
 
 
-def maximal(members: list[S.Suffix], words: int) -> Iterator[tuple[int, int, list[S.Suffix]]]:
-    """(o, length, occurrences) of the maximal repeats of one partition; they begin o words before the anchor."""
-    for o, run in S.openings(members, words):
-        order = sorted(run, key=lambda s: s.bytes)
-        lcp = [S.agree(a.right, b.right) for a, b in zip(order, order[1:])]
-        for height, lo, hi in intervals(lcp):
-            if o + height >= words:
-                some = order[lo : hi + 1]
-                if S.differ(some, o) and S.begins(some[0], o, words):
-                    yield o, o + height, some
+def inner(f: S.Family) -> Iterator[tuple[int, int, int]]:
+    return intervals(f.lcp)
 
 
 def _groups(words: int):
     def work(keys):
         for members in keys:
-            rows = [[], [], [], []]
-            for o, length, some in maximal(members, words):
-                rows[0].append(S.repeat_id(some, o, length))
-                rows[1].append(length)
-                some = sorted(some, key=lambda s: S.place(s, o))
-                rows[2].append([s.doc for s in some])
-                rows[3].append([s.at - o for s in some])
+            rows = [[], [], [], [], []]
+            for f in S.openings(members, words):
+                for depth, lo, hi in intervals(f.lcp):
+                    if f.maximal(lo, hi, depth, words):
+                        at = lo + np.argsort(f.rank[lo : hi + 1])
+                        rid, start = f.rid[at], f.start[at]
+                        head = np.flatnonzero(np.concatenate([[True], (rid[1:] != rid[:-1]) | (start[1:] != start[:-1] + 1)]))
+                        doc = f.doc[at[head]].tolist()
+                        if not f.known[at[head]].all():
+                            doc = [d if known else None for d, known in zip(doc, f.known[at[head]])]
+                        for to, x in zip(rows, (S.repeat_id(f.members[lo], f.o, f.o + depth), f.o + depth, doc, start[head].tolist(), np.diff(np.append(head, len(at))).tolist())):
+                            to.append(x)
             if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.int32()))], names=["repeat_id", "n_words", "doc_ids", "starts"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.int32())), pa.array(rows[4], pa.list_(pa.int32()))],
+                    names=["repeat_id", "n_words", "doc_ids", "starts", "times"],
+                )
 
     return work
 
 
 def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(repeat_id, n_words, doc_ids, starts): each maximal repeat of `words` words or more, with all occurrences.
+    """(repeat_id, n_words, doc_ids, starts, times): each maximal repeat of `words` words or more, with all occurrences.
 
-    doc_ids and starts (word numbers) go in parallel, in order. An occurrence is
-    maximal if neither its left nor its right neighbour word is the same in all
+    doc_ids, starts (word numbers) and times go in parallel, in order; times: so many
+    occurrences begin there, each a word after the other. A repeat is maximal if neither its left nor its right neighbour word is the same in all
     occurrences. Words are runs of bytes other than ASCII white space.
 
     Rows with a null text have no words; a null doc_id is an id of its own. Rows
@@ -71,52 +72,17 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     documents of their own. Texts under `words` words have no repeats; an empty
     table gives none. Only doc_id and text are read.
     """
-    return S.found(docs, words, _groups(words), "repeat_id long, n_words int, doc_ids array<long>, starts array<int>")
-
-
-def best_cuts(groups: Iterator[tuple[int, int, list[S.Suffix]]]) -> dict:
-    """For each (row, document, start): the longest repeat there that has an earlier occurrence, and where."""
-    best: dict = {}
-    for o, length, some in groups:
-        first = min(some, key=lambda s: S.place(s, o))
-        for s in some:
-            if s is first:
-                continue
-            begin, n = s.at - o, length
-            if s.rid == first.rid:  # an overlap with the first occurrence stays
-                over = max(0, first.at + length - s.at)
-                begin, n = begin + over, n - over
-            if n > 0 and n > best.get((s.rid, s.doc, begin), (0,))[0]:
-                best[s.rid, s.doc, begin] = (n, first.doc, first.at - o)
-    return best
-
-
-def cutter(words: int, groups):
-    """Work that gives a row for each text to cut: (rid, doc_id, start, n_words, first_doc_id, first_start)."""
-
-    def work(keys):
-        for members in keys:
-            best = best_cuts(groups(members, words))
-            if best:
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([k[j] for k in best], t) for j, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))), *(pa.array([v[j] for v in best.values()], t) for j, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int32())))],
-                    names=["rid", "doc_id", "start", "n_words", "first_doc_id", "first_start"],
-                )
-
-    return work
-
-
-CUTS = "rid long, doc_id long, start int, n_words int, first_doc_id long, first_start int"
+    return S.found(docs, words, _groups(words), "repeat_id long, n_words int, doc_ids array<long>, starts array<int>, times array<int>")
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """`docs` with all but the first occurrence of each repeat cut from the texts.
 
-    First is the one of the least doc_id and place. What overlaps the first
-    occurrence in the same text stays. A text of which no word is left goes.
+    First is the one of the least doc_id and place. Occurrences that overlap the
+    first one stay. A text of which no word is left goes.
     Repeated rows are cut alike. n_chars is counted anew.
     """
-    return S.removed(docs, written(S.found(docs, words, cutter(words, maximal), CUTS)))
+    return S.removed(docs, written(S.found(docs, words, S.cutter(words, inner), S.CUTS)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,36 +20,38 @@ from pyspark.sql import functions as F
 from tephra.llm import suffixes as S
 from tephra.llm import words as W
 from tephra.llm.frames import documents, parts, written
-from tephra.llm.suffix_array import CUTS, cutter
 
 WORDS = S.WORDS
 #: Bytes of suffixes that one partition may hold unless all of them are equal.
 MEMORY = 64 << 20
 
 
-def nodes(members: list[S.Suffix]) -> Iterator[tuple[int, list[S.Suffix]]]:
-    """(depth, suffixes below) of the inner nodes of the tree of the members' right sides."""
-    stack = [(0, members)]
-    while stack:
-        depth, some = stack.pop()
-        head = some[0].right
-        deep = len(head)
-        for s in some[1:]:
-            deep = depth + S.agree(head[depth:deep], s.right[depth:deep])
-        yield deep, some
-        below: dict[int, list[S.Suffix]] = {}
-        for s in some:
-            if len(s.right) > deep:
-                below.setdefault(int(s.right[deep]), []).append(s)
-        stack.extend((deep, x) for x in below.values() if len(x) > 1)
+class Tree:
+    """Suffix tree of a family's right sides: each suffix in turn is hung on the rightmost path.
 
+    Nodes in parallel lists: depth in words, first and last leaf, parent.
+    """
 
-def maximal(members: list[S.Suffix], words: int, low: int = 0, high: int = 1 << 31) -> Iterator[tuple[int, int, list[S.Suffix]]]:
-    """(o, length, occurrences) of the maximal repeats whose right side is of low to high - 1 words."""
-    for o, run in S.openings(members, words):
-        for depth, some in nodes(run):
-            if low <= depth < high and o + depth >= words and S.differ(some, o) and S.begins(some[0], o, words):
-                yield o, o + depth, some
+    def __init__(self, lcp: list[int]):
+        self.depth, self.first, self.last, self.parent = [0], [0], [len(lcp)], [-1]
+        path = [0]
+        for leaf, shared in enumerate(lcp):
+            below = -1
+            while self.depth[path[-1]] > shared:
+                below = path.pop()
+                self.last[below] = leaf
+            if self.depth[path[-1]] < shared:  # an edge is split, or a leaf's edge gets a node
+                node = len(self.depth)
+                for to, x in zip((self.depth, self.first, self.last, self.parent), (shared, self.first[below] if below >= 0 else leaf, len(lcp), path[-1])):
+                    to.append(x)
+                if below >= 0:
+                    self.parent[below] = node
+                path.append(node)
+
+    def inner(self) -> Iterator[tuple[int, int, int]]:
+        """(depth, first leaf, last leaf), children before parents."""
+        for i in sorted(range(len(self.depth)), key=lambda i: -self.depth[i]):
+            yield self.depth[i], self.first[i], self.last[i]
 
 
 def split(rows: DataFrame, words: int, memory: int) -> DataFrame:
@@ -68,14 +70,19 @@ def split(rows: DataFrame, words: int, memory: int) -> DataFrame:
                 out = {n: [] for n in batch.schema.names}
                 for row in batch.to_pylist():
                     x = W.of_bytes(row["body"])
-                    end = min(row["left"] + length, len(x.hash))
-                    top = row | {"body": x.text(0, end), "high": length}
-                    prefix = x.hash[row["left"] : end]
-                    key = W.mix(np.array([np.bitwise_xor.reduce(W.mix(prefix + np.arange(len(prefix), dtype=np.uint64) * W._K))], np.uint64) + np.uint64(row["key"] % 2**64))
-                    # a suffix that ends before the new prefix does stays with the top alone
-                    for r in [top] + ([row | {"key": int(key.view(np.int64)[0]), "low": length}] if len(prefix) == length else []):
-                        for n, v in r.items():
-                            out[n].append(v)
+                    for t in range(row["times"]):
+                        mid = row["left"] + t
+                        left = min(mid, words - S.gram_of(words) + 1)
+                        one = row | {"at": row["at"] + t, "times": 1, "left": left}
+                        end = min(mid + length, len(x.hash))
+                        prefix = x.hash[mid:end]
+                        key = W.mix(np.array([np.bitwise_xor.reduce(W.mix(prefix + np.arange(len(prefix), dtype=np.uint64) * W._K))], np.uint64) + np.uint64(row["key"] % 2**64))
+                        both = [one | {"body": x.text(mid - left, end), "high": length}]
+                        if len(prefix) == length:  # else the suffix stays with the top alone
+                            both.append(one | {"key": int(key.view(np.int64)[0]), "low": length, "body": x.text(mid - left, len(x.hash))})
+                        for r in both:
+                            for n, v in r.items():
+                                out[n].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in batch.schema], names=batch.schema.names)
 
         both = written(open_.join(large, "key").select(open_.columns).mapInArrow(cut, open_.schema))
@@ -111,9 +118,9 @@ def repeats(docs: DataFrame, words: int = WORDS, memory: int = MEMORY) -> DataFr
                 mask = pa.compute.and_(pa.compute.equal(W.column(b, "low"), pair[0]), pa.compute.equal(W.column(b, "high"), pair[1]))
                 limits.setdefault(pair, []).append(b.filter(mask))
         for (low, high), some in limits.items():
-            yield from cutter(words, lambda members, n, low=low, high=high: maximal(members, n, low, high))(S.partitions(some, words))
+            yield from S.cutter(words, lambda f, low=low, high=high: (x for x in Tree(f.lcp).inner() if low <= x[0] < high))(S.partitions(some, words))
 
-    cuts = rows.repartition(parts(docs), "key").mapInArrow(run, CUTS)
+    cuts = rows.repartition(parts(docs), "key").mapInArrow(run, S.CUTS)
     # places that two partitions of one tree answer for, or two texts of one doc_id
     return cuts.groupBy("doc_id", "start").agg(F.max(F.struct("n_words", -F.col("first_doc_id"), -F.col("first_start"))).alias("m")).select("doc_id", "start", "m.n_words", (-F.col("m.col2")).alias("first_doc_id"), (-F.col("m.col3")).alias("first_start"))
 

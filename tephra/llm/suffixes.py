@@ -23,7 +23,7 @@ from tephra.llm import words as W
 from tephra.llm.frames import parts
 
 WORDS = 50
-ROWS = "key long, rid long, doc_id long, at int, left int, body binary"
+ROWS = "key long, rid long, doc_id long, at int, times int, left int, body binary"
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -70,11 +70,12 @@ def row_id():
 
 
 def gathered(docs: DataFrame, words: int) -> DataFrame:
-    """(key, rid, doc_id, at, left, body): one row for each suffix.
+    """(key, rid, doc_id, at, times, left, body): one row for each suffix, or run of them.
 
     rid: hash of doc_id and text; key: the anchor; at: its word number in the document; body: the text from
     `left` words before it (all that the text has, if fewer than a window) to where
-    repeats that begin in its window must have ended.
+    repeats that begin in its window must have ended. times: as many suffixes, each a
+    word further on, have the same anchor (one word again and again).
     """
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     w = words - gram_of(words) + 1
@@ -122,7 +123,7 @@ def gathered(docs: DataFrame, words: int) -> DataFrame:
             for a, b in W.chunks(texts):
                 x = W.Words(texts, a, b)
                 g, start, chosen = anchors(x.hash, x.first, words)
-                out = [[], [], [], [], []]
+                out = [[], [], [], [], [], []]
                 repeated = np.zeros(len(x.hash) + 1, bool)
                 marks = []
                 for i in range(a, b):
@@ -135,14 +136,20 @@ def gathered(docs: DataFrame, words: int) -> DataFrame:
                 for i in range(a, b):
                     lo, hi = int(x.first[i - a]), int(x.first[i - a + 1])
                     at = marks[i - a]
+                    if not len(at):
+                        continue
                     end = np.minimum(stops[np.searchsorted(stops, at, "right")] + words - 1, hi)
-                    for p, e in zip(at.tolist(), end.tolist()):
+                    new = np.ones(len(at), bool)
+                    new[1:] = (at[1:] != at[:-1] + 1) | (g[at[1:]] != g[at[:-1]])
+                    head = np.flatnonzero(new)
+                    times = np.diff(np.append(head, len(at)))
+                    for p, e, n in zip(at[head].tolist(), np.maximum.reduceat(end, head).tolist(), times.tolist()):
                         left = min(w, p - lo)
-                        for to, v in zip(out, (int(g[p].view(np.int64)), i, p - lo, left, x.text(p - left, e))):
+                        for to, v in zip(out, (int(g[p].view(np.int64)), i, p - lo, n, left, x.text(p - left, e))):
                             to.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), rids.take(pa.array(out[1], pa.int64())), ids.take(pa.array(out[1], pa.int64())), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())],
-                    names=["key", "rid", "doc_id", "at", "left", "body"],
+                    [pa.array(out[0], pa.int64()), rids.take(pa.array(out[1], pa.int64())), ids.take(pa.array(out[1], pa.int64())), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary())],
+                    names=["key", "rid", "doc_id", "at", "times", "left", "body"],
                 )
 
     kept = rows.join(marks, "rid").select("rid", "doc_id", "text", "at", "opens")
@@ -152,15 +159,10 @@ def gathered(docs: DataFrame, words: int) -> DataFrame:
 class Suffix:
     """A suffix from an anchor on: word hashes to its right and, nearest first, to its left."""
 
-    __slots__ = ("rid", "doc", "at", "left", "right", "bytes")
+    __slots__ = ("rid", "doc", "at", "left", "right")
 
     def __init__(self, rid: int, doc, at: int, left: np.ndarray, right: np.ndarray):
         self.rid, self.doc, self.at, self.left, self.right = rid, doc, at, left, right
-        self.bytes = right.astype(">u8").tobytes()
-
-    def before(self, o: int):
-        """What stands o + 1 words to the left; unlike anything else where the text begins."""
-        return int(self.left[o]) if o < len(self.left) else (self.rid, self.at)
 
 
 def agree(a: np.ndarray, b: np.ndarray) -> int:
@@ -169,9 +171,37 @@ def agree(a: np.ndarray, b: np.ndarray) -> int:
     return int(d[0]) if len(d) else n
 
 
-def openings(members: list[Suffix], words: int) -> Iterator[tuple[int, list[Suffix]]]:
-    """(o, members that agree in the o words to the left), for each o at which some part company."""
-    w = words - gram_of(words) + 1
+class Family:
+    """Suffixes that agree in the o words to their left, in the order of their right sides.
+
+    lcp: lengths of neighbours' common prefixes; before: what stands further left,
+    unlike anything else where the text begins; rank: order by document and place.
+    """
+
+    def __init__(self, o: int, members: list[Suffix]):
+        self.o = o
+        self.members = members = sorted(members, key=lambda s: s.right.astype(">u8").tobytes())
+        self.lcp = [agree(a.right, b.right) for a, b in zip(members, members[1:])]
+        self.before = np.array([int(s.left[o]) if o < len(s.left) else (s.rid * 0x9E3779B97F4A7C15 + s.at * 0xD6E8FEB86659FD93 + 1) % 2**64 for s in members], np.uint64)
+        self.rid = np.array([s.rid for s in members], np.int64)
+        self.start = np.array([s.at - o for s in members], np.int64)
+        self.doc = np.array([s.doc or 0 for s in members], np.int64)
+        self.known = np.array([s.doc is not None for s in members])
+        self.rank = np.empty(len(members), np.int64)
+        self.rank[np.lexsort((self.rid, self.start, self.doc, self.known))] = np.arange(len(members))
+
+    def maximal(self, lo: int, hi: int, depth: int, words: int) -> bool:
+        """Whether suffixes lo to hi, that share `depth` words, are a repeat that is to be reported here."""
+        if self.o + depth < words:
+            return False
+        before = self.before[lo : hi + 1]
+        return bool((before != before[0]).any()) and begins(self.members[lo], self.o, words)
+
+
+def openings(members: list[Suffix], words: int) -> Iterator[Family]:
+    """The families at each o at which some members' left sides part, if repeats may begin there."""
+    k = gram_of(words)
+    w = words - k + 1
     order = sorted(members, key=lambda s: s.left.astype(">u8").tobytes())
     same = [agree(a.left, b.left) for a, b in zip(order, order[1:])]
     for o in sorted({x for x in same if x < w}):
@@ -179,7 +209,10 @@ def openings(members: list[Suffix], words: int) -> Iterator[tuple[int, list[Suff
         for hi in range(1, len(order) + 1):
             if hi == len(order) or same[hi - 1] < o:
                 if hi - lo > 1:
-                    yield o, order[lo:hi]
+                    head = order[lo]
+                    g = W.grams(np.concatenate([head.left[:o][::-1], head.right[:k]]), k) >> np.uint64(24)
+                    if (g[:-1] > g[-1]).all():  # else another anchor comes first
+                        yield Family(o, order[lo:hi])
                 lo = hi
 
 
@@ -189,11 +222,6 @@ def begins(s: Suffix, o: int, words: int) -> bool:
     return len(first) == words and int(anchors(first, np.array([0, words]), words)[2][0]) == o
 
 
-def differ(members: list[Suffix], o: int) -> bool:
-    left = members[0].before(o)
-    return any(s.before(o) != left for s in members[1:])
-
-
 def partitions(batches, words: int) -> Iterator[list[Suffix]]:
     """The suffixes of each key of a task's partition."""
     batches = [b for b in batches if b.num_rows]
@@ -202,7 +230,8 @@ def partitions(batches, words: int) -> Iterator[list[Suffix]]:
     table = pa.Table.from_batches(batches)
     key = table.column("key").to_numpy()
     order = np.argsort(key, kind="stable")
-    rid, ids, at, left, body = (table.column(n) for n in ("rid", "doc_id", "at", "left", "body"))
+    rid, ids, at, times, left, body = (table.column(n) for n in ("rid", "doc_id", "at", "times", "left", "body"))
+    w = words - gram_of(words) + 1
     body = body.combine_chunks()
     cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
     ends = [*cut[1:], len(order)]
@@ -215,15 +244,15 @@ def partitions(batches, words: int) -> Iterator[list[Suffix]]:
         some = body.take(pa.array(rows))
         some = some.cast(pa.large_binary()).view(pa.large_string())
         row, doc, place, lefts = rid.take(pa.array(rows)).to_pylist(), ids.take(pa.array(rows)).to_pylist(), at.take(pa.array(rows)).to_numpy(), left.take(pa.array(rows)).to_numpy()
-        made = []
+        made, count = [], times.take(pa.array(rows)).to_numpy()
         for a, b in W.chunks(some):
             x = W.Words(some, a, b)
             for r in range(a, b):
                 lo, hi = int(x.first[r - a]), int(x.first[r - a + 1])
                 mid = lo + int(lefts[r])
-                made.append(Suffix(row[r], doc[r], int(place[r]), x.hash[lo:mid][::-1], x.hash[mid:hi]))
+                made.append([Suffix(row[r], doc[r], int(place[r]) + t, x.hash[max(lo, mid + t - w) : mid + t][::-1], x.hash[mid + t : hi]) for t in range(int(count[r]))])
         for c in range(i, j):
-            once = {(s.rid, s.at): s for s in made[cut[c] - cut[i] : ends[c] - cut[i]]}  # repeated rows
+            once = {(s.rid, s.at): s for some in made[cut[c] - cut[i] : ends[c] - cut[i]] for s in some}  # repeated rows
             if len(once) > 1:
                 yield [*once.values()]
         i = j
@@ -236,18 +265,42 @@ def found(docs: DataFrame, words: int, work: Callable[[Iterator[list[Suffix]]],
     return gathered(docs, words).repartition(parts(docs), "key").mapInArrow(run, schema)
 
 
-def place(s: Suffix, o: int) -> tuple:
-    """Order of occurrences: null ids first, then by document and word."""
-    return (s.doc is not None, s.doc or 0, s.at - o)
-
-
-def repeat_id(members: list[Suffix], o: int, length: int) -> int:
+def repeat_id(s: Suffix, o: int, length: int) -> int:
     """From the repeat's words alone."""
-    s = members[0]
     h = np.concatenate([s.left[:o][::-1], s.right[: length - o]])
     return int(W.mix(np.array([np.bitwise_xor.reduce(W.mix(h + np.arange(len(h), dtype=np.uint64) * W._K)) + np.uint64(length)], np.uint64))[0].view(np.int64))
 
 
+CUTS = "rid long, doc_id long, start int, n_words int, first_doc_id long, first_start int"
+
+
+def cutter(words: int, inner: Callable[[Family], Iterator[tuple[int, int, int]]]):
+    """Work that gives a row for each place to cut.
+
+    inner: (depth, first, last) of the inner nodes of a family, the deeper first on
+    each path. For each suffix the deepest repeat counts whose first occurrence is
+    another one and isn't overlapped.
+    """
+
+    def work(keys):
+        for members in keys:
+            for f in openings(members, words):
+                size, first = np.zeros(len(f.rank), np.int64), np.zeros(len(f.rank), np.int64)
+                for depth, lo, hi in inner(f):
+                    if f.maximal(lo, hi, depth, words):
+                        n, head = f.o + depth, lo + int(f.rank[lo : hi + 1].argmin())
+                        cut = (size[lo : hi + 1] == 0) & ((f.rid[lo : hi + 1] != f.rid[head]) | (f.start[lo : hi + 1] - f.start[head] >= n))
+                        at = lo + np.flatnonzero(cut)
+                        size[at], first[at] = n, head
+                at = np.flatnonzero(size)
+                if len(at):
+                    head = first[at]
+                    columns = [pa.array(f.rid[at]), pa.array(f.doc[at], mask=~f.known[at]), pa.array(f.start[at].astype(np.int32)), pa.array(size[at].astype(np.int32)), pa.array(f.doc[head], mask=~f.known[head]), pa.array(f.start[head].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "start", "n_words", "first_doc_id", "first_start"])
+
+    return work
+
+
 def removed(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     """`docs` without the words that `cuts` (rid, start, n_words) covers, n_chars counted anew; a text left without words goes."""
     spans = cuts.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("start", "n_words")).alias("__cuts"))
