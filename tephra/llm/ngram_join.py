@@ -26,10 +26,12 @@ from tephra.llm.frames import documents, parts, written
 
 N = 3
 THRESHOLD = 0.6
+#: Groups of a small set; larger ones have so many more that a group holds GROUPED n-grams at most on average.
 GROUPS = 256
+GROUPED = 3
 SIGNATURE = 16
-#: A count of this size stands for any greater one; it bounds nothing.
-FULL = 255
+#: A count of this size stands for any greater one too; it bounds nothing.
+FULL = 15
 LEAF = 32
 
 
@@ -48,8 +50,46 @@ def sets(texts: pa.Array, n: int = N):
                 yield w.hash[:0]
 
 
-def _vector(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(20) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8)
+def _vector(s: np.ndarray) -> bytes:
+    """Counts of the groups, two in a byte."""
+    groups = GROUPS
+    while len(s) > GROUPED * groups:
+        groups *= 2
+    v = np.minimum(np.bincount((s >> np.uint64(20) & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL)
+    return (v[: groups // 2] | v[groups // 2 :] << 4).astype(np.uint8).tobytes()
+
+
+class Vectors:
+    """Count vectors of a partition; those of more groups fold into fewer ones."""
+
+    def __init__(self, packed: list[bytes]):
+        self.own = [np.frombuffer(p, np.uint8) for p in packed]
+        self.groups = np.array([2 * len(p) for p in packed])
+        self._at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows that have at least so many groups, their vectors of exactly so many)."""
+        if groups not in self._at:
+            rows = np.flatnonzero(self.groups >= groups)
+            out = np.empty((len(rows), groups), np.uint16)
+            for i, r in enumerate(rows):
+                v = np.concatenate([self.own[r] & 15, self.own[r] >> 4]).astype(np.uint32)
+                v[v == FULL] = 30000
+                out[i] = np.minimum(v.reshape(-1, groups).sum(0), 60000)
+            self._at[groups] = rows, out
+        return self._at[groups]
+
+    def near(self, i: np.ndarray, j: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether the pairs' bound by all the groups that both have reaches what they need."""
+        ok, both = np.ones(len(i), bool), np.minimum(self.groups[i], self.groups[j])
+        for groups in np.unique(both[both > GROUPS]):
+            rows, v = self.at(int(groups))
+            at = np.flatnonzero(both == groups)
+            for lo in range(0, len(at), step := max(1, (1 << 20) // int(groups))):
+                p = at[lo : lo + step]
+                bound = np.minimum(v[np.searchsorted(rows, i[p])], v[np.searchsorted(rows, j[p])]).sum(1, dtype=np.uint32)
+                ok[p] = bound >= _needed(sizes[i[p]], sizes[j[p]], threshold)
+        return ok
 
 
 def _signature(s: np.ndarray) -> np.ndarray:
@@ -59,10 +99,6 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _points(vectors: np.ndarray) -> np.ndarray:
-    return np.where(vectors == FULL, np.uint16(60000), vectors.astype(np.uint16))
-
-
 def _needed(a, b, threshold: float):
     """The least overlap that two sets of these sizes must have; a little less for rounding."""
     return threshold / (1 + threshold) * (np.asarray(a, np.float64) + b) - 1e-6
@@ -112,10 +148,13 @@ class CountTree:
         return self.order[query], self.order[node]
 
 
-def _candidates(key: int, signatures: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, threshold: float):
+def _candidates(key: int, signatures: np.ndarray, packed: list[bytes], sizes: np.ndarray, threshold: float):
     """Pairs that survive the bound and of whose shared signature n-grams `key` is the least."""
     lower = np.where(signatures < np.uint64(key), signatures, np.uint64(0))
-    for i, j in CountTree(_points(vectors), sizes).pairs(threshold):
+    vectors = Vectors(packed)
+    for i, j in CountTree(vectors.at(GROUPS)[1], sizes).pairs(threshold):
+        near = vectors.near(i, j, sizes, threshold)
+        i, j = i[near], j[near]
         ok = np.ones(len(i), bool)
         for lo in range(0, len(i), 1 << 13):
             x, y = lower[i[lo : lo + (1 << 13)]], lower[j[lo : lo + (1 << 13)]]
@@ -169,7 +208,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
                 rows[2].append(int((W.mix(s)).sum().view(np.int64)))
                 rows[3].append(len(s))
                 rows[4].append(_signature(s).tobytes())
-                rows[5].append(_vector(s).tobytes())
+                rows[5].append(_vector(s))
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(keep, pa.int64())), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary()), pa.array(rows[5], pa.binary())],
                 names=["doc_id", "sum1", "sum2", "size", "signature", "vector"],
@@ -193,7 +232,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
     def search(batches):
         for key, (ids, size, signature, vector) in _groups(batches, ["doc_id", "size", "signature", "vector"]):
             found = np.zeros(len(ids), bool)
-            for i, j in _candidates(np.int64(key).view(np.uint64), _matrix(signature, np.uint64, SIGNATURE), _matrix(vector, np.uint8, GROUPS), size.to_numpy(), threshold):
+            for i, j in _candidates(np.int64(key).view(np.uint64), _matrix(signature, np.uint64, SIGNATURE), vector.to_pylist(), size.to_numpy(), threshold):
                 found[i] = found[j] = True
             if found.any():
                 at = np.flatnonzero(found)
@@ -212,7 +251,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
             first = np.concatenate([[0], np.cumsum(sizes)])
             mark = np.zeros(len(every), bool)
             out = [[], [], []]
-            for i, j in _candidates(np.int64(key).view(np.uint64), np.stack([_signature(s) for s in own]), np.stack([_vector(s) for s in own]), sizes, threshold):
+            for i, j in _candidates(np.int64(key).view(np.uint64), np.stack([_signature(s) for s in own]), [_vector(s) for s in own], sizes, threshold):
                 order = np.argsort(i, kind="stable")
                 i, j = i[order], j[order]
                 cut = np.flatnonzero(np.diff(i, prepend=-1))

@@ -355,3 +355,37 @@ def kv_format_value(spark, d):
 @query("kv_normalize_value", "SELECT doc_id, CASE WHEN strlen(text) <= 100 THEN text ELSE (SELECT max(left(text, n::INTEGER)) FROM (SELECT max(n) AS n FROM range(1, 101) r(n) WHERE strlen(left(text, n::INTEGER)) <= 100)) END AS value FROM documents")
 def kv_normalize_value(spark, d):
     return table(spark, d, "documents").select("doc_id", values.normalize_value(F.col("text")).alias("value"))
+
+
+def _trained(spark, d):
+    from tephra.operators import learned
+
+    orders = table(spark, d, "orders").select((F.col("o_totalprice") / 7).alias("key"), "o_orderkey")
+    members, others = orders.where("o_orderkey % 2 = 0").select("key"), orders.where("o_orderkey % 2 = 1").select("key")
+    return learned, members, others
+
+
+@query("kv_ml_membership")
+def kv_ml_membership(spark, d):
+    """Scores and answers of the membership ensemble for every order's key."""
+    learned, members, others = _trained(spark, d)
+    far = others.select((F.col("key") + 1e6).alias("key"))
+    rows = members.withColumn("label", F.lit(1.0)).unionByName(far.withColumn("label", F.lit(0.0)))
+    model = learned.MembershipModel(trees=5).train(rows, mine_hard=False)
+    return model.predict(rows).select("key", "label", F.round("score", 6).alias("score"), "maybe")
+
+
+@query("kv_ml_filter")
+def kv_ml_filter(spark, d):
+    """The learned filter beside a classical one."""
+    learned, members, others = _trained(spark, d)
+    made = learned.LearnedFilter(epochs=20).train(members, others)
+    return learned.compare_filters(members, others, made)
+
+
+@query("kv_ml_pages")
+def kv_ml_pages(spark, d):
+    """Accuracy of the page predictor on the pages of orders."""
+    learned, _, _ = _trained(spark, d)
+    pages = L.paged(orders_log(spark, d)).select(F.col("key").cast("double").alias("key"), "page_id")
+    return evaluation.page_accuracy(learned.PagePredictor(trees=10).train(pages, hierarchical=False).predict(pages))
