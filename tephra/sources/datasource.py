@@ -1,5 +1,6 @@
 """A Python data source over a stored log that prunes runs by the pushed key filters.
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LogSource)
     spark.read.format("tephra").option("path", ...).load().where("key = 5")
 """
