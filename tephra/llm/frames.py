@@ -50,3 +50,12 @@ def parts(df: DataFrame) -> int:
 def with_fields(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of `df` and then the fields of `ddl`."""
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(ddl).fields])
+
+
+#: Rows of a few numbers that a broadcast may have: some tens of MB.
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(written_table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcasts a written table of narrow rows if its count allows that; else the join shuffles."""
+    return F.broadcast(written_table) if written_table.count() <= most else written_table

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tephra.llm import words as W
-from tephra.llm.frames import documents, parts, written
+from tephra.llm.frames import broadcast_if_small, documents, parts, written
 
 N = 3
 THRESHOLD = 0.6
@@ -272,7 +272,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
                 a, b, value = map(np.concatenate, out)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(value)], names=["doc_a", "doc_b", "jaccard"])
 
-    near = docs.join(wanted, "doc_id").repartition(width, "key").select("key", "doc_id", "text")
+    near = docs.join(broadcast_if_small(wanted), "doc_id").repartition(width, "key").select("key", "doc_id", "text")
     near = near.mapInArrow(verify, "doc_a long, doc_b long, jaccard double").where("doc_a <> doc_b")
     exact = copies.select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
     return near.union(exact).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
