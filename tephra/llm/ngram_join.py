@@ -182,7 +182,7 @@ def _matrix(column, dtype, width: int) -> np.ndarray:
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """Pairs (doc_a, doc_b, jaccard) of similarity `threshold` at least, doc_a < doc_b.
+    """Pairs (doc_id_a, doc_id_b, jaccard) of similarity `threshold` at least, doc_id_a < doc_id_b.
 
     Documents whose sets are equal form a class: its smallest doc_id is paired with
     each other member (similarity 1) and alone stands for the class in all further
@@ -216,7 +216,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
 
     described = written(docs.mapInArrow(describe, "doc_id long, sum1 long, sum2 long, size long, signature binary, vector binary"))
     classes = written(described.groupBy("sum1", "sum2", "size").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("vector").alias("vector")))
-    copies = described.select("sum1", "sum2", "size", F.col("doc_id").alias("doc_b")).distinct().join(classes.select("sum1", "sum2", "size", F.col("doc_id").alias("doc_a")), ["sum1", "sum2", "size"]).where("doc_a <> doc_b")
+    copies = described.select("sum1", "sum2", "size", F.col("doc_id").alias("doc_id_b")).distinct().join(classes.select("sum1", "sum2", "size", F.col("doc_id").alias("doc_id_a")), ["sum1", "sum2", "size"]).where("doc_id_a <> doc_id_b")
 
     def explode(batches):
         for batch in batches:
@@ -270,15 +270,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
                     mark[mine] = False
             if out[0]:
                 a, b, value = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(value)], names=["doc_a", "doc_b", "jaccard"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(value)], names=["doc_id_a", "doc_id_b", "jaccard"])
 
     near = docs.join(broadcast_if_small(wanted), "doc_id").repartition(width, "key").select("key", "doc_id", "text")
-    near = near.mapInArrow(verify, "doc_a long, doc_b long, jaccard double").where("doc_a <> doc_b")
-    exact = copies.select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
-    return near.union(exact).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    near = near.mapInArrow(verify, "doc_id_a long, doc_id_b long, jaccard double").where("doc_id_a <> doc_id_b")
+    exact = copies.select("doc_id_a", "doc_id_b", F.lit(1.0).alias("jaccard"))
+    return near.union(exact).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def components(edges: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
+def components(edges: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> DataFrame:
     """(doc_id, root): the smallest id that each id hangs together with; roots included.
 
     Each task first contracts its own edges; large-star and small-star rounds, as

@@ -69,7 +69,7 @@ def test_every_case_and_clashing_names(spark, operator):
 
 
 def test_joins_on_every_case(spark):
-    pairs = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.join(clashing(spark)).collect()}
+    pairs = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.join(clashing(spark)).collect()}
     assert set(pairs) == {(1, 2)}  # rows of a null id take no part
     left = [r.doc_id for r in ngram_join.one_of_each(clashing(spark)).collect()]
     assert sorted(left, key=repr) == sorted([1, 1, 3, 4, None, 5, 6, 7], key=repr)
@@ -97,7 +97,7 @@ def test_join_against_all_pairs(spark):
         j = len(x & y) / len(x | y)
         if j >= ngram_join.THRESHOLD:
             expected[min(a, b), max(a, b)] = j
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.join(frame(spark, rows)).collect()}
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.join(frame(spark, rows)).collect()}
     assert got == pytest.approx(expected) and len(expected) > 10
     parent = {}
 
@@ -133,7 +133,7 @@ def test_tree_bound_never_drops_a_pair():
 
 
 def test_components_of_a_long_chain(spark):
-    edges = spark.range(300).select(F.col("id").alias("doc_a"), (F.col("id") + 1).alias("doc_b")).repartition(7)
+    edges = spark.range(300).select(F.col("id").alias("doc_id_a"), (F.col("id") + 1).alias("doc_id_b")).repartition(7)
     assert {r.root for r in ngram_join.components(edges).collect()} == {0}
     assert ngram_join.components(edges.limit(0)).count() == 0
 
