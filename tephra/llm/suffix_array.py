@@ -38,7 +38,7 @@ def inner(f: S.Family) -> Iterator[tuple[int, int, int]]:
 
 def _groups(words: int):
     def work(keys):
-        for members in keys:
+        for members, _, _ in keys:
             rows = [[], [], [], [], []]
             for f in S.openings(members, words):
                 for depth, lo, hi in intervals(f.lcp):
@@ -54,14 +54,14 @@ def _groups(words: int):
             if rows[0]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.int32())), pa.array(rows[4], pa.list_(pa.int32()))],
-                    names=["repeat_id", "n_words", "doc_ids", "starts", "times"],
+                    names=["repeat_hash", "n_words", "doc_ids", "starts", "times"],
                 )
 
     return work
 
 
 def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(repeat_id, n_words, doc_ids, starts, times): each maximal repeat of `words` words or more, with all occurrences.
+    """(repeat_hash, n_words, doc_ids, starts, times): each maximal repeat of `words` words or more, with all occurrences.
 
     doc_ids, starts (word numbers) and times go in parallel, in order; times: so many
     occurrences begin there, each a word after the other. A repeat is maximal if neither its left nor its right neighbour word is the same in all
@@ -72,7 +72,7 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     documents of their own. Texts under `words` words have no repeats; an empty
     table gives none. Only doc_id and text are read.
     """
-    return S.found(docs, words, _groups(words), "repeat_id long, n_words int, doc_ids array<long>, starts array<int>, times array<int>")
+    return S.found(docs, words, _groups(words), "repeat_hash long, n_words int, doc_ids array<long>, starts array<int>, times array<int>")
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:

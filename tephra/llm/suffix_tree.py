@@ -1,9 +1,9 @@
 """Repeats from suffix trees over partitions of common prefixes.
 
-Suffixes are split by prefixes of varying length: the anchor's words first, and
-longer and longer ones where a partition would not fit in memory. A prefix that is
-split further leaves its suffixes, cut to the next length, behind as the top of its
-tree, so no inner node is lost. Each partition's tree is built on its own, and its
+Suffixes are split by prefixes of varying length: the anchor's words first (by which
+they are shuffled), and longer and longer ones where they would not fit in a task's
+memory unpacked. A prefix that is split further leaves its suffixes, cut to the next
+length, behind as the top of its tree, so no inner node is lost. Each partition's tree is built on its own, and its
 deep inner nodes with differing left extensions are the maximal repeats.
 """
 
@@ -11,18 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tephra.llm import suffixes as S
-from tephra.llm import words as W
-from tephra.llm.frames import documents, parts, written
+from tephra.llm.frames import documents
 
 WORDS = S.WORDS
-#: Bytes of suffixes that one partition may hold unless all of them are equal.
+#: Bytes of text whose suffixes are unpacked at once.
 MEMORY = 64 << 20
 
 
@@ -54,46 +50,6 @@ class Tree:
             yield self.depth[i], self.first[i], self.last[i]
 
 
-def split(rows: DataFrame, words: int, memory: int) -> DataFrame:
-    """`rows` of suffixes by prefixes so long that each partition fits; low and high are the depths that it answers for."""
-    done, open_, length = [], rows.withColumn("low", F.lit(0)).withColumn("high", F.lit((1 << 31) - 1)), 2 * words
-    while True:
-        sizes = open_.groupBy("key").agg(F.sum(F.length("body")).alias("bytes"), F.max(F.length("body")).alias("most"))
-        large = sizes.where((F.col("bytes") > memory) & (F.col("most") > length)).select("key")
-        large = written(large)
-        if large.isEmpty():
-            break
-        done.append(open_.join(large, "key", "left_anti"))
-
-        def cut(batches, length=length):
-            for batch in batches:
-                out = {n: [] for n in batch.schema.names}
-                for row in batch.to_pylist():
-                    x = W.of_bytes(row["body"])
-                    for t in range(row["times"]):
-                        mid = row["left"] + t
-                        left = min(mid, words - S.gram_of(words) + 1)
-                        one = row | {"at": row["at"] + t, "times": 1, "left": left}
-                        end = min(mid + length, len(x.hash))
-                        prefix = x.hash[mid:end]
-                        key = W.mix(np.array([np.bitwise_xor.reduce(W.mix(prefix + np.arange(len(prefix), dtype=np.uint64) * W._K))], np.uint64) + np.uint64(row["key"] % 2**64))
-                        both = [one | {"body": x.text(mid - left, end), "high": length}]
-                        if len(prefix) == length:  # else the suffix stays with the top alone
-                            both.append(one | {"key": int(key.view(np.int64)[0]), "low": length, "body": x.text(mid - left, len(x.hash))})
-                        for r in both:
-                            for n, v in r.items():
-                                out[n].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in batch.schema], names=batch.schema.names)
-
-        both = written(open_.join(large, "key").select(open_.columns).mapInArrow(cut, open_.schema))
-        done.append(both.where(F.col("high") == length))
-        open_ = both.where(F.col("high") > length)
-        length *= 2
-    for more in done:
-        open_ = open_.unionByName(more)
-    return open_
-
-
 def repeats(docs: DataFrame, words: int = WORDS, memory: int = MEMORY) -> DataFrame:
     """(doc_id, start, n_words, first_doc_id, first_start): what to cut so that each repeat is left once.
 
@@ -108,19 +64,7 @@ def repeats(docs: DataFrame, words: int = WORDS, memory: int = MEMORY) -> DataFr
     texts are documents of their own. Shorter texts have no repeats; an empty table
     gives none. Only doc_id and text are read.
     """
-    rows = split(written(S.gathered(docs, words)), words, memory)
-
-    def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        limits: dict[int, list] = {}
-        for b in batches:
-            for pair in {*zip(W.column(b, "low").to_pylist(), W.column(b, "high").to_pylist())}:
-                mask = pa.compute.and_(pa.compute.equal(W.column(b, "low"), pair[0]), pa.compute.equal(W.column(b, "high"), pair[1]))
-                limits.setdefault(pair, []).append(b.filter(mask))
-        for (low, high), some in limits.items():
-            yield from S.cutter(words, lambda f, low=low, high=high: (x for x in Tree(f.lcp).inner() if low <= x[0] < high))(S.partitions(some, words))
-
-    cuts = rows.repartition(parts(docs), "key").mapInArrow(run, S.CUTS)
+    cuts = S.found(docs, words, S.cutter(words, lambda f: Tree(f.lcp).inner()), S.CUTS, memory)
     # places that two partitions of one tree answer for, or two texts of one doc_id
     return cuts.groupBy("doc_id", "start").agg(F.max(F.struct("n_words", -F.col("first_doc_id"), -F.col("first_start"))).alias("m")).select("doc_id", "start", "m.n_words", (-F.col("m.col2")).alias("first_doc_id"), (-F.col("m.col3")).alias("first_start"))
 

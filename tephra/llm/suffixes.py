@@ -23,10 +23,19 @@ from tephra.llm import words as W
 from tephra.llm.frames import parts
 
 WORDS = 50
-ROWS = "key long, rid long, doc_id long, at int, times int, left int, body binary"
+ROWS = "key long, rid long, doc_id long, at int, times int, left int, size int, body binary"
+_packer = pa.Codec("zstd", compression_level=1)
 _LOW = np.uint64((1 << 24) - 1)
 
 
+def packed(text: bytes) -> bytes:
+    return _packer.compress(text, asbytes=True)
+
+
+def unpacked(body: bytes, size: int) -> bytes:
+    return _packer.decompress(body, size, asbytes=True)
+
+
 def gram_of(words: int) -> int:
     return max(1, words // 2)
 
@@ -70,12 +79,13 @@ def row_id():
 
 
 def gathered(docs: DataFrame, words: int) -> DataFrame:
-    """(key, rid, doc_id, at, times, left, body): one row for each suffix, or run of them.
+    """(key, rid, doc_id, at, times, left, size, body): one row for each suffix, or run of them.
 
     rid: hash of doc_id and text; key: the anchor; at: its word number in the document; body: the text from
     `left` words before it (all that the text has, if fewer than a window) to where
     repeats that begin in its window must have ended. times: as many suffixes, each a
-    word further on, have the same anchor (one word again and again).
+    word further on, have the same anchor (one word again and again). body is
+    compressed from `size` bytes.
     """
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     w = words - gram_of(words) + 1
@@ -123,7 +133,7 @@ def gathered(docs: DataFrame, words: int) -> DataFrame:
             for a, b in W.chunks(texts):
                 x = W.Words(texts, a, b)
                 g, start, chosen = anchors(x.hash, x.first, words)
-                out = [[], [], [], [], [], []]
+                out = [[], [], [], [], [], [], []]
                 repeated = np.zeros(len(x.hash) + 1, bool)
                 marks = []
                 for i in range(a, b):
@@ -145,11 +155,12 @@ def gathered(docs: DataFrame, words: int) -> DataFrame:
                     times = np.diff(np.append(head, len(at)))
                     for p, e, n in zip(at[head].tolist(), np.maximum.reduceat(end, head).tolist(), times.tolist()):
                         left = min(w, p - lo)
-                        for to, v in zip(out, (int(g[p].view(np.int64)), i, p - lo, n, left, x.text(p - left, e))):
+                        text = x.text(p - left, e)
+                        for to, v in zip(out, (int(g[p].view(np.int64)), i, p - lo, n, left, len(text), packed(text))):
                             to.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), rids.take(pa.array(out[1], pa.int64())), ids.take(pa.array(out[1], pa.int64())), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary())],
-                    names=["key", "rid", "doc_id", "at", "times", "left", "body"],
+                    [pa.array(out[0], pa.int64()), rids.take(pa.array(out[1], pa.int64())), ids.take(pa.array(out[1], pa.int64())), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32()), pa.array(out[6], pa.binary())],
+                    names=["key", "rid", "doc_id", "at", "times", "left", "size", "body"],
                 )
 
     kept = rows.join(marks, "rid").select("rid", "doc_id", "text", "at", "opens")
@@ -222,45 +233,79 @@ def begins(s: Suffix, o: int, words: int) -> bool:
     return len(first) == words and int(anchors(first, np.array([0, words]), words)[2][0]) == o
 
 
-def partitions(batches, words: int) -> Iterator[list[Suffix]]:
-    """The suffixes of each key of a task's partition."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    key = table.column("key").to_numpy()
-    order = np.argsort(key, kind="stable")
-    rid, ids, at, times, left, body = (table.column(n) for n in ("rid", "doc_id", "at", "times", "left", "body"))
-    w = words - gram_of(words) + 1
-    body = body.combine_chunks()
-    cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    ends = [*cut[1:], len(order)]
-    i = 0
-    while i < len(cut):  # some keys at a time, of about a megabyte
-        j = i + 1
-        while j < len(cut) and ends[j] - cut[i] < 2000:
-            j += 1
-        rows = order[cut[i] : ends[j - 1]]
-        some = body.take(pa.array(rows))
-        some = some.cast(pa.large_binary()).view(pa.large_string())
-        row, doc, place, lefts = rid.take(pa.array(rows)).to_pylist(), ids.take(pa.array(rows)).to_pylist(), at.take(pa.array(rows)).to_numpy(), left.take(pa.array(rows)).to_numpy()
-        made, count = [], times.take(pa.array(rows)).to_numpy()
-        for a, b in W.chunks(some):
-            x = W.Words(some, a, b)
-            for r in range(a, b):
-                lo, hi = int(x.first[r - a]), int(x.first[r - a + 1])
-                mid = lo + int(lefts[r])
-                made.append([Suffix(row[r], doc[r], int(place[r]) + t, x.hash[max(lo, mid + t - w) : mid + t][::-1], x.hash[mid + t : hi]) for t in range(int(count[r]))])
-        for c in range(i, j):
-            once = {(s.rid, s.at): s for some in made[cut[c] - cut[i] : ends[c] - cut[i]] for s in some}  # repeated rows
-            if len(once) > 1:
-                yield [*once.values()]
-        i = j
+class Partition:
+    """A task's suffixes, packed; `memory` limits the bytes that are unpacked at once (0: no limit)."""
 
+    def __init__(self, batches, words: int, memory: int = 0):
+        batches = [b for b in batches if b.num_rows]
+        self.words, self.memory = words, memory
+        self.w = words - gram_of(words) + 1
+        self.table = pa.Table.from_batches(batches).combine_chunks() if batches else None
 
-def found(docs: DataFrame, words: int, work: Callable[[Iterator[list[Suffix]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def groups(self) -> Iterator[tuple[list[Suffix], int, int]]:
+        """(suffixes, low, high) of each key: repeats are to be looked for whose right sides have low to high - 1 words."""
+        if self.table is None:
+            return
+        key, rid, at = (self.table.column(n).to_numpy() for n in ("key", "rid", "at"))
+        order = np.lexsort((at, rid, key))
+        same = (key[order][1:] == key[order][:-1]) & (rid[order][1:] == rid[order][:-1]) & (at[order][1:] == at[order][:-1])
+        order = order[np.concatenate([[True], ~same])]  # repeated rows count once
+        key, size = key[order], self.table.column("size").to_numpy()[order].astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends, total = np.append(cut[1:], len(order)), np.add.reduceat(size, cut)
+        upto = np.cumsum(total)
+        i = 0
+        while i < len(cut):
+            if self.memory and total[i] > self.memory:
+                yield from self._split([(r, None) for r in order[cut[i] : ends[i]]], 2 * self.words, 0)
+                i += 1
+                continue
+            j = i + 1  # some keys at a time, of about a megabyte
+            while j < len(cut) and upto[j] - upto[i] + total[i] < W.CHUNK_BYTES and not (self.memory and total[j] > self.memory):
+                j += 1
+            made = self._unpacked(order[cut[i] : ends[j - 1]])
+            for c in range(i, j):
+                members = [s for some in made[cut[c] - cut[i] : ends[c] - cut[i]] for s in some]
+                if len(members) > 1:
+                    yield members, 0, 1 << 31
+            i = j
+
+    def _unpacked(self, rows: np.ndarray) -> list[list[Suffix]]:
+        some = self.table.take(pa.array(rows))
+        rid, doc, at, times, left, size, body = (some.column(n).to_pylist() for n in ("rid", "doc_id", "at", "times", "left", "size", "body"))
+        texts = pa.array([unpacked(b, n) for b, n in zip(body, size)], pa.large_binary()).view(pa.large_string())
+        made = []
+        for a, b in W.chunks(texts):
+            x = W.Words(texts, a, b)
+            for r in range(a, b):
+                lo, hi = int(x.first[r - a]), int(x.first[r - a + 1])
+                mid = lo + left[r]
+                made.append([Suffix(rid[r], doc[r], at[r] + t, x.hash[max(lo, mid + t - self.w) : mid + t][::-1], x.hash[mid + t : hi]) for t in range(times[r])])
+        return made
+
+    def _split(self, wanted: list[tuple[int, int | None]], length: int, low: int) -> Iterator[tuple[list[Suffix], int, int]]:
+        """The top of the suffixes' tree, cut to `length` words, and then the subtrees below, one prefix of that length after the other."""
+        top, below = [], {}
+        for row, t in wanted:
+            some = self._unpacked(np.array([row]))[0]
+            for k, s in enumerate(some) if t is None else [(t, some[t])]:
+                top.append(Suffix(s.rid, s.doc, s.at, s.left.copy(), s.right[:length].copy()))
+                if len(s.right) >= length:
+                    below.setdefault(s.right[:length].tobytes(), []).append((row, k, 8 * len(s.right)))
+        yield top, low, length
+        del top
+        for some in below.values():
+            if len(some) < 2:
+                continue
+            if sum(n for _, _, n in some) > self.memory:
+                yield from self._split([(row, k) for row, k, _ in some], 2 * length, length)
+            else:
+                yield [self._unpacked(np.array([row]))[0][k] for row, k, _ in some], length, 1 << 31
+
+
+def found(docs: DataFrame, words: int, work: Callable[[Iterator[tuple[list[Suffix], int, int]]], Iterator[pa.RecordBatch]], schema: str, memory: int = 0) -> DataFrame:
     def run(batches):
-        yield from work(partitions(batches, words))
+        yield from work(Partition(batches, words, memory).groups())
 
     return gathered(docs, words).repartition(parts(docs), "key").mapInArrow(run, schema)
 
@@ -283,11 +328,11 @@ def cutter(words: int, inner: Callable[[Family], Iterator[tuple[int, int, int]]]
     """
 
     def work(keys):
-        for members in keys:
+        for members, low, high in keys:
             for f in openings(members, words):
                 size, first = np.zeros(len(f.rank), np.int64), np.zeros(len(f.rank), np.int64)
                 for depth, lo, hi in inner(f):
-                    if f.maximal(lo, hi, depth, words):
+                    if low <= depth < high and f.maximal(lo, hi, depth, words):
                         n, head = f.o + depth, lo + int(f.rank[lo : hi + 1].argmin())
                         cut = (size[lo : hi + 1] == 0) & ((f.rid[lo : hi + 1] != f.rid[head]) | (f.start[lo : hi + 1] - f.start[head] >= n))
                         at = lo + np.flatnonzero(cut)

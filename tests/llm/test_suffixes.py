@@ -77,7 +77,7 @@ def test_against_enumeration(spark, seed):
         got = suffix_array.repeats(frame(spark, rows), least).collect()
         assert {(r.n_words, expanded(r)) for r in got} == expected
         assert len(got) == len(expected)
-        assert len({r.repeat_id for r in got}) == len(got)
+        assert len({r.repeat_hash for r in got}) == len(got)
         for memory in (1 << 20, 10):
             tree = suffix_tree.repeats(frame(spark, rows), least, memory).collect()
             assert {(r.doc_id, r.start): r.n_words for r in tree} == cuts(expected)
