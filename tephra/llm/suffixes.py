@@ -198,6 +198,7 @@ class Family:
         self.start = np.array([s.at - o for s in members], np.int64)
         self.doc = np.array([s.doc or 0 for s in members], np.int64)
         self.known = np.array([s.doc is not None for s in members])
+        self._begins: dict[bytes, bool] = {}
         self.rank = np.empty(len(members), np.int64)
         self.rank[np.lexsort((self.rid, self.start, self.doc, self.known))] = np.arange(len(members))
 
@@ -206,7 +207,12 @@ class Family:
         if self.o + depth < words:
             return False
         before = self.before[lo : hi + 1]
-        return bool((before != before[0]).any()) and begins(self.members[lo], self.o, words)
+        if not (before != before[0]).any():
+            return False
+        window = self.members[lo].right[: words - self.o].tobytes()
+        if window not in self._begins:
+            self._begins[window] = begins(self.members[lo], self.o, words)
+        return self._begins[window]
 
 
 def openings(members: list[Suffix], words: int) -> Iterator[Family]:
@@ -313,7 +319,8 @@ def found(docs: DataFrame, words: int, work: Callable[[Iterator[tuple[list[Suffi
 def repeat_id(s: Suffix, o: int, length: int) -> int:
     """From the repeat's words alone."""
     h = np.concatenate([s.left[:o][::-1], s.right[: length - o]])
-    return int(W.mix(np.array([np.bitwise_xor.reduce(W.mix(h + np.arange(len(h), dtype=np.uint64) * W._K)) + np.uint64(length)], np.uint64))[0].view(np.int64))
+    total = (h * W.powers(length)).sum(dtype=np.uint64) + np.uint64(length)
+    return int(W.mix(np.array([total]))[0].view(np.int64))
 
 
 CUTS = "rid long, doc_id long, start int, n_words int, first_doc_id long, first_start int"

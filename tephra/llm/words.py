@@ -40,6 +40,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def powers(n: int) -> np.ndarray:
+    """1, R, R^2, ... of the polynomial hash."""
+    return _power_tables(n)[0][:n]
+
+
 def chunks(col: pa.Array, most: int = CHUNK_BYTES):
     """Row ranges [a, b) of a string array, each of about `most` bytes (one row at least)."""
     n = len(col)
