@@ -248,6 +248,47 @@ def compare_filters(members: DataFrame, others: DataFrame, learned: LearnedFilte
     return classical.select(F.lit("classical").alias("filter"), "*", F.lit(-(-m // 8)).alias("size_bytes")).unionByName(new.select(F.lit("learned").alias("filter"), "*", F.lit(size).alias("size_bytes")))
 
 
+def tuned(rows: DataFrame, folds: int = 3, seed: int = 42):
+    """A forest chosen by cross-validated recall over a small grid, from (key, label): (model, profile, feature names)."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    profile = features.key_profile(rows.where("label = 1"))
+    named, names = _featured(rows.select("key", "label"), features.membership_features(profile))
+    forest = RandomForestClassifier(seed=seed)
+    grid = ParamGridBuilder().addGrid(forest.maxDepth, [4, 8]).addGrid(forest.numTrees, [10, 20]).build()
+    judge = MulticlassClassificationEvaluator(metricName="recallByLabel", metricLabel=1.0)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), forest])
+    return CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed).fit(named).bestModel, profile, names
+
+
+@dataclass
+class LevelModels:
+    """Membership models and page predictors by level."""
+
+    membership: dict[int, MembershipModel] = field(default_factory=dict)
+    pages: dict[int, PagePredictor] = field(default_factory=dict)
+
+    def train(self, samples: DataFrame, pages: DataFrame | None = None, **options) -> "LevelModels":
+        """samples: (level, key, label), as membership_set() makes them; pages: (level, key, page_id). One model a level."""
+        for (level,) in samples.select("level").distinct().collect():
+            self.membership[level] = MembershipModel(**options).train(samples.where(F.col("level") == level), mine_hard=False)
+        for (level,) in pages.select("level").distinct().collect() if pages is not None else []:
+            self.pages[level] = PagePredictor().train(pages.where(F.col("level") == level), hierarchical=False)
+        return self
+
+    def get(self, log: DataFrame, keys: DataFrame) -> DataFrame:
+        return learned_get(log, keys, self.membership, self.pages)
+
+    def accuracy(self, samples: DataFrame) -> DataFrame:
+        """Confusion counts and rates of each level's model on (level, key, label)."""
+        out = None
+        for level, model in self.membership.items():
+            own = model.predict(samples.where(F.col("level") == level)).select("level", (F.col("label") == 1).alias("expected"), F.col("maybe").alias("got"))
+            out = own if out is None else out.unionByName(own)
+        return evaluation.error_rates(out).where("level IS NOT NULL")
+
+
 def audit(found: DataFrame, exact: DataFrame, every: int = 100) -> DataFrame:
     """A lookup in `every` of (op_idx, value) held against the exact answer: checked and missed."""
     some = found.where(F.col("op_idx") % every == 0)

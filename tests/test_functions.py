@@ -101,3 +101,19 @@ def test_page_predictor(spark):
     made = learned.PagePredictor(trees=5).train(pages)
     assert evaluation.page_accuracy(made.predict(pages)).first()["within_one"] > 0.95
     assert learned.PagePredictor().predict(pages).where("guess <> 0").count() == 0
+
+
+def test_models_by_level(spark):
+    from tephra.operators import workloads
+
+    log = spark.range(300).selectExpr("cast(id AS double) * 1.5 AS key", "'v' AS value", "id AS seq", "false AS is_deleted", "cast(id % 2 AS int) AS level", "cast(id % 2 AS long) AS run_id")
+    samples = workloads.membership_set(log, 100)
+    models = learned.LevelModels().train(samples, trees=2, depth=3)
+    assert set(models.membership) == {0, 1}
+    assert {r["level"] for r in models.accuracy(samples).collect()} == {0, 1}
+    assert models.get(log, log.select("key")).count() == 300
+    best, _, names = learned.tuned(samples.where("level = 0"), folds=2)
+    assert best.stages[-1].getNumTrees in (10, 20) and len(names) == 45
+    answers = spark.createDataFrame([(0, None), (100, "a"), (101, None)], "op_idx long, value string")
+    exact = spark.createDataFrame([(0, "x"), (100, "a"), (101, "y")], "op_idx long, value string")
+    assert tuple(learned.audit(answers, exact).first()) == (2, 1)
