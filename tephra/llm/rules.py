@@ -46,16 +46,17 @@ def _share(chars: str, most: float, name: str) -> Rule:
 
 def _distinct(spark_items: str, sql_items: str, least: float, above: int, name: str) -> Rule:
     """Of more than `above` items, a part `least` or more is distinct."""
-    spark = f"size({spark_items}) <= {above} OR size(array_distinct({spark_items})) >= CAST({least} AS DOUBLE) * size({spark_items})"
+    # the lambda's variable holds the items, so that they are found once
+    spark = f"exists(array({spark_items}), x -> size(x) <= {above} OR size(array_distinct(x)) >= CAST({least} AS DOUBLE) * size(x))"
     return Rule(name, spark, f"len({sql_items}) <= {above} OR len(list_distinct({sql_items})) >= CAST({least} AS DOUBLE) * len({sql_items})")
 
 
 def rules() -> list[Rule]:
     spark_words, sql_words = f"regexp_extract_all(text, r'({_WORD})', 1)", f"regexp_extract_all(text, '{_WORD}')"
-    spark_solid, sql_solid = r"length(regexp_replace(text, r'[ \t\n\r\f\x0B]+', ''))", r"length(regexp_replace(text, '[ \t\n\r\f\x0B]+', '', 'g'))"
+    spark_solid, sql_solid = r"length(translate(text, ' \t\n\r\u000C\u000B', ''))", r"length(regexp_replace(text, '[ \t\n\r\f\x0B]+', '', 'g'))"
     return [
         Rule("has_words", r"rlike(text, r'[^ \t\n\r\f\x0B0-9\p{Punct}]')", r"regexp_matches(text, '[^ \t\n\r\f\x0B0-9[:punct:]]')"),
-        Rule("word_length", f"{spark_solid} BETWEEN 2 * size({spark_words}) AND 15 * size({spark_words})", f"{sql_solid} BETWEEN 2 * len({sql_words}) AND 15 * len({sql_words})"),
+        Rule("word_length", f"exists(array(size({spark_words})), n -> {spark_solid} BETWEEN 2 * n AND 15 * n)", f"{sql_solid} BETWEEN 2 * len({sql_words}) AND 15 * len({sql_words})"),
         _share(_SYMBOLS, 0.05, "symbols"),
         _share("!?", 0.05, "exclamations"),
         _share(_CAPITALS, 0.4, "capitals"),
