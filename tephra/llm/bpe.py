@@ -24,7 +24,9 @@ from tephra.llm.frames import documents, with_fields
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Entries of one generation of a worker's caches; two are kept. Results don't depend on it.
-CACHE = 600_000
+CACHE = 300_000
+#: Rows whose new words are encoded ahead together.
+AHEAD = 1024
 
 
 #: Numbers that aren't decimal digits: `re` takes them for letters.
@@ -212,6 +214,12 @@ class Encoder:
             known[s[1:]] = np.array(table.truncate(n).append(piece[n:]).tokens(), dtype).tobytes()
             before = piece
 
+    def forget(self) -> None:
+        """Empties the caches: worker processes outlive their tasks, and other work needs the memory."""
+        for cache in (self._segment, self._piece):
+            cache.clear()
+            cache.old = {}
+
     def packed(self, text: str) -> bytes:
         if _RUN.search(text):
             return self._plain(text)
@@ -280,8 +288,9 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         dtype, table = enc.vocabulary.dtype, enc.vocabulary.bytes.__getitem__
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            enc.prepare([t for t in batch.column(at).to_pylist() if t])
             for lo in range(0, batch.num_rows, 256):
+                if lo % AHEAD == 0:
+                    enc.prepare([t for t in batch.column(at).slice(lo, AHEAD).to_pylist() if t])
                 part = batch.slice(lo, 256)
                 packed, exact = [], []
                 for text in part.column(at).to_pylist():
@@ -298,6 +307,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     [*part.columns, tokens, pa.array(sizes.astype(np.int32), mask=null), pa.array(exact, pa.bool_())],
                     names=[*part.schema.names, "tokens", "n_tokens", "exact"],
                 )
+        enc.forget()
 
     return docs.mapInArrow(run, with_fields(docs, "tokens array<int>, n_tokens int, exact boolean"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tephra.llm import words as W
-from tephra.llm.bpe import VOCABULARY, encoder
+from tephra.llm.bpe import AHEAD, VOCABULARY, encoder
 from tephra.llm.frames import documents
 
 
@@ -22,11 +22,13 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches):
         enc, counts = encoder(vocabulary), {}
         for batch in batches:
-            texts = [t for t in W.column(batch, "text").to_pylist() if t is not None]
-            enc.prepare(texts)
-            for text in texts:
-                n = len(enc.packed(text)) // enc.vocabulary.dtype.itemsize
-                counts[n] = counts.get(n, 0) + 1
+            for lo in range(0, batch.num_rows, AHEAD):
+                texts = [t for t in W.column(batch, "text").slice(lo, AHEAD).to_pylist() if t is not None]
+                enc.prepare(texts)
+                for text in texts:
+                    n = len(enc.packed(text)) // enc.vocabulary.dtype.itemsize
+                    counts[n] = counts.get(n, 0) + 1
+        enc.forget()
         yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.int64()), pa.array([*counts.values()], pa.int64())], names=["n_tokens", "n_docs"])
 
     return docs.select("text").mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
