@@ -24,7 +24,7 @@ SAMPLE = 150
 SLOTS = 1 << 16
 LISTED = 200
 BLOCK = 256
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: A text is kept if the language of most of its words has this share of the probability.
 SHARE = 0.5
 
