@@ -88,6 +88,19 @@ class Best:
         self.score[touched], self.id[touched] = score[take], ids[take]
 
 
+def _kth(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Each row's k-th greatest score of the columns' ids but its own, where an id counts once, by its best; -inf if there are fewer."""
+    order = np.argsort(ids, kind="stable")
+    every, begin = np.unique(ids[order], return_index=True)
+    score = np.maximum.reduceat(score[:, order], begin, axis=1)
+    at = np.minimum(np.searchsorted(every, own), len(every) - 1)
+    mine = np.flatnonzero(every[at] == own)
+    score[mine, at[mine]] = -np.inf
+    if len(every) < k:
+        return np.full(len(own), -np.inf)
+    return np.partition(score, -k, axis=1)[:, -k]
+
+
 def search(ids: np.ndarray, q: np.ndarray, blocks, k: int) -> Best:
     best, d = Best(ids, k), q.shape[1]
     half = max(1, d // 2)
@@ -107,10 +120,10 @@ def search(ids: np.ndarray, q: np.ndarray, blocks, k: int) -> Best:
         else:
             row, col = np.nonzero(may)
             score = part[row, col] + np.einsum("ij,ij->i", q[live[row], half:], x[col, half:])
-        if len(row) > 50 * k * len(live):  # the first blocks: only each row's best can matter (other ids may tie with one's own)
+        if len(row) > 50 * k * len(live):  # the first blocks: only what reaches each row's k-th best other id can matter
             dense = np.full(part.shape, -np.inf)
             dense[row, col] = score
-            cut = np.partition(dense, -min(len(other), 2 * k + 2), axis=1)[:, -min(len(other), 2 * k + 2)]
+            cut = _kth(dense, other, ids[live], k)
             near = score >= cut[row] - 1e-8
             row, col, score = row[near], col[near], score[near]
         best.add(live[row], score, other[col])

@@ -307,3 +307,23 @@ def test_top_k(spark, kind):
     for i, v in got.items():
         assert [s for _, s in v] == pytest.approx([s for _, s in expected[i]], abs=2e-6)
     assert topk.top_k(vectors(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("n, copies", [(1000, 3), (2500, 3), (2500, 5), (700, 100)])
+def test_top_k_where_many_ids_have_several_vectors(n, copies):
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(n // copies, 6)), copies, axis=0)
+    x += rng.normal(size=x.shape) * 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = np.repeat(np.arange(n // copies), copies)
+    mixed = rng.permutation(len(x))
+    x, own = x[mixed], own[mixed]
+    blocks = [(1 + 1e-12, own[lo : lo + topk.BLOCK], x[lo : lo + topk.BLOCK]) for lo in range(0, len(x), topk.BLOCK)]
+    best = topk.search(own, x, blocks, topk.K)
+    product = np.full((len(x), n // copies), -np.inf)
+    np.maximum.at(product, (slice(None), own), np.round(x @ x.T, 9))
+    product[np.arange(len(x)), own] = -np.inf
+    for i, row in enumerate(product):
+        order = np.lexsort((np.arange(len(row)), -row))[: min(topk.K, len(row) - 1)]
+        assert best.id[i, : len(order)].tolist() == order.tolist()
+        assert best.score[i, : len(order)] == pytest.approx(row[order], abs=2e-9)
