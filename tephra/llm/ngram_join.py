@@ -33,6 +33,8 @@ SIGNATURE = 16
 #: A count of this size stands for any greater one too; it bounds nothing.
 FULL = 15
 LEAF = 32
+#: Members of a class that are paired at once with as many of another.
+PIECE = 512
 
 
 def sets(texts: pa.Array, n: int = N):
@@ -181,18 +183,15 @@ def _matrix(column, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """Pairs (doc_id_a, doc_id_b, jaccard) of similarity `threshold` at least, doc_id_a < doc_id_b.
+def _class_of(s: np.ndarray) -> tuple[int, int, int]:
+    """What tells a set from others: two sums of its hashes and its size."""
+    return int(s.sum().view(np.int64)), int(W.mix(s).sum().view(np.int64)), len(s)
 
-    Documents whose sets are equal form a class: its smallest doc_id is paired with
-    each other member (similarity 1) and alone stands for the class in all further
-    pairs, which hold for every member. So copies cost rows in proportion to their
-    number, and every group hangs together.
 
-    Rows with a null doc_id, a null text or a text without words take no part.
-    Repeated rows count once, and rows of one doc_id are never paired. The result
-    of an empty table is empty. Only doc_id and text are read, so other columns may
-    have any names.
+def _found(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their classes, classes of equal sets with their least doc_id, pairs of unequal sets' documents with their classes a and b).
+
+    Of each class only the least doc_id is looked at for pairs.
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     def describe(batches):
@@ -204,9 +203,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
                 if not len(s):
                     continue
                 keep.append(i)
-                rows[1].append(int(s.sum().view(np.int64)))
-                rows[2].append(int((W.mix(s)).sum().view(np.int64)))
-                rows[3].append(len(s))
+                for to, x in zip(rows[1:4], _class_of(s)):
+                    to.append(x)
                 rows[4].append(_signature(s).tobytes())
                 rows[5].append(_vector(s))
             yield pa.RecordBatch.from_arrays(
@@ -216,7 +214,6 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
 
     described = written(docs.mapInArrow(describe, "doc_id long, sum1 long, sum2 long, size long, signature binary, vector binary"))
     classes = written(described.groupBy("sum1", "sum2", "size").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("vector").alias("vector")))
-    copies = described.select("sum1", "sum2", "size", F.col("doc_id").alias("doc_id_b")).distinct().join(classes.select("sum1", "sum2", "size", F.col("doc_id").alias("doc_id_a")), ["sum1", "sum2", "size"]).where("doc_id_a <> doc_id_b")
 
     def explode(batches):
         for batch in batches:
@@ -247,10 +244,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
             once = {(int(ids[r]), s.tobytes()): r for r, s in enumerate(own) if len(s)}  # repeated rows
             ids, own = ids[[*once.values()]], [own[r] for r in once.values()]
             sizes = np.array([len(s) for s in own])
+            classes = np.array([_class_of(s) for s in own], np.int64)
             every, place = np.unique(np.concatenate(own), return_inverse=True)
             first = np.concatenate([[0], np.cumsum(sizes)])
             mark = np.zeros(len(every), bool)
-            out = [[], [], []]
+            out = [[], [], [], [], []]
             for i, j in _candidates(np.int64(key).view(np.uint64), np.stack([_signature(s) for s in own]), [_vector(s) for s in own], sizes, threshold):
                 order = np.argsort(i, kind="stable")
                 i, j = i[order], j[order]
@@ -265,19 +263,70 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
                         both = np.add.reduceat(mark[at].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
                         value = both / (sizes[a] + sizes[some] - both)
                         good = value >= threshold
-                        for to, x in zip(out, (np.full(good.sum(), ids[a]), ids[some[good]], value[good])):
+                        for to, x in zip(out, (np.full(good.sum(), ids[a]), ids[some[good]], value[good], np.tile(classes[a], (good.sum(), 1)), classes[some[good]])):
                             to.append(x)
                     mark[mine] = False
             if out[0]:
-                a, b, value = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(value)], names=["doc_id_a", "doc_id_b", "jaccard"])
+                a, b, value, of_a, of_b = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(value), *(pa.array(x) for x in (*of_a.T, *of_b.T))], names=["doc_id_a", "doc_id_b", "jaccard", "a1", "a2", "a3", "b1", "b2", "b3"])
 
     near = docs.join(broadcast_if_small(wanted), "doc_id").repartition(width, "key").select("key", "doc_id", "text")
-    near = near.mapInArrow(verify, "doc_id_a long, doc_id_b long, jaccard double").where("doc_id_a <> doc_id_b")
+    near = near.mapInArrow(verify, "doc_id_a long, doc_id_b long, jaccard double, a1 long, a2 long, a3 long, b1 long, b2 long, b3 long")
+    near = near.select("doc_id_a", "doc_id_b", "jaccard", *(F.struct(F.col(x + "1").alias("sum1"), F.col(x + "2").alias("sum2"), F.col(x + "3").cast("long").alias("size")).alias(x) for x in "ab"))
+    return described, classes, near
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """Pairs (doc_id_a, doc_id_b, jaccard) of similarity `threshold` at least, doc_id_a < doc_id_b, reduced by classes.
+
+    Documents whose sets are equal form a class: its smallest doc_id is paired with
+    each other member (similarity 1) and alone stands for the class in all further
+    pairs, which hold for every member. So copies cost rows in proportion to their
+    number, and every group hangs together. `all_pairs` gives the others too.
+
+    Rows with a null doc_id, a null text or a text without words take no part.
+    Repeated rows count once, and rows of one doc_id are never paired. The result
+    of an empty table is empty. Only doc_id and text are read, so other columns may
+    have any names.
+    """
+    described, classes, near = _found(docs, threshold, n)
+    copies = described.select("sum1", "sum2", "size", F.col("doc_id").alias("doc_id_b")).distinct().join(classes.select("sum1", "sum2", "size", F.col("doc_id").alias("doc_id_a")), ["sum1", "sum2", "size"]).where("doc_id_a <> doc_id_b")
+    near = near.select(F.least("doc_id_a", "doc_id_b").alias("doc_id_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b"), "jaccard").where("doc_id_a <> doc_id_b")
     exact = copies.select("doc_id_a", "doc_id_b", F.lit(1.0).alias("jaccard"))
     return near.union(exact).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def all_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, piece: int = PIECE) -> DataFrame:
+    """Pairs (doc_id_a, doc_id_b, jaccard) of similarity `threshold` at least, doc_id_a < doc_id_b: all of them.
+
+    Those of `join`, and each pair of classes (a class with itself too) given for
+    all pairs of their members: a class of m copies has m * (m - 1) / 2 rows. Members
+    go in pieces of `piece`, so a task's rows in memory are few however large a class is.
+    Which rows take part is as in `join`.
+    """
+    described, _, near = _found(docs, threshold, n)
+    own = described.select("doc_id", F.struct("sum1", "sum2", F.col("size").cast("long").alias("size")).alias("class")).groupBy("doc_id").agg(F.collect_set("class").alias("classes"))
+    # a doc_id of several texts can be paired with another by several classes; `several` tells such ids
+    members = written(own.select("doc_id", (F.size("classes") > 1).alias("several"), F.explode("classes").alias("class")).groupBy("class", "several").agg(F.collect_list("doc_id").alias("ids")))
+    many = members.groupBy("class").agg(F.sum(F.size("ids")).alias("n")).where("n > 1")
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard").where("a <> b")
+    pairs = written(pairs.union(many.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("jaccard"))).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")))
+    cut = F.expr(f"transform(sequence(0, (size(ids) - 1) div {piece}), i -> slice(ids, cast(i * {piece} + 1 AS int), {piece}))")
+    pieces = members.select("class", "several", F.posexplode(cut).alias("at", "ids"))
+    one, other = (pieces.select(F.col("class").alias(x), F.struct("several", "at").alias("at_" + x), F.col("ids").alias("ids_" + x)) for x in "ab")
+    blocks = pairs.join(one, "a").join(other, "b").where("a <> b OR at_a <= at_b")
+
+    def rows(some: DataFrame) -> DataFrame:
+        some = some.select("jaccard", (F.expr("a = b AND at_a = at_b")).alias("same"), "ids_a", "ids_b").repartition(parts(docs))
+        some = some.select("jaccard", "same", "ids_b", F.explode("ids_a").alias("x")).select("jaccard", "same", "x", F.explode("ids_b").alias("y"))
+        return some.where("x < y OR (x > y AND NOT same)").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
+
+    out = rows(blocks.where("NOT at_a.several AND NOT at_b.several"))  # each pair comes once
+    if not members.where("several").isEmpty():
+        out = out.union(rows(blocks.where("at_a.several OR at_b.several")).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard")))
+    return out
+
+
 def components(edges: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> DataFrame:
     """(doc_id, root): the smallest id that each id hangs together with; roots included.
 
@@ -332,4 +381,4 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Da
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(documents(spark, sf_dir))
+    return all_pairs(documents(spark, sf_dir))

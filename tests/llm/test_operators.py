@@ -113,6 +113,34 @@ def test_join_against_all_pairs(spark):
     assert roots == {x: find(x) for x in list(parent)}
 
 
+def test_all_pairs_of_classes(spark):
+    rng, rows = random.Random(6), []
+    for g in range(5):
+        base = [f"w{g}x{rng.randint(0, 200)}" for _ in range(rng.choice([3, 40, 200]))]
+        for _ in range(3):
+            copy = [w if rng.random() > 0.03 else "new" + str(rng.randint(0, 9)) for w in base]
+            rows += [(len(rows) + k, " ".join(copy), "en", "s", 0) for k in range(rng.choice([1, 2, 9]))]
+    rows += [rows[0], (rows[1][0], *rows[-1][1:]), (rows[2][0], *rows[-1][1:]), (None, *rows[0][1:]), (rows[5][0], *rows[-2][1:])]
+    expected = {}
+    for (d, x), (e, y) in itertools.combinations([(r[0], ngrams(r[1])) for r in rows if r[0] is not None], 2):
+        j = len(x & y) / len(x | y)
+        if d != e and j >= ngram_join.THRESHOLD:
+            expected[min(d, e), max(d, e)] = max(j, expected.get((min(d, e), max(d, e)), 0))
+    for piece in (512, 2):
+        got = ngram_join.all_pairs(frame(spark, rows), piece=piece).collect()
+        assert len(got) == len(expected)
+        assert {(r.doc_id_a, r.doc_id_b): r.jaccard for r in got} == pytest.approx(expected)
+    assert ngram_join.all_pairs(frame(spark, [])).count() == 0
+
+
+def test_query_gives_pairs_between_copies(spark, tmp_path):
+    one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(58))
+    frame(spark, [(i, one if i < 4 else two, "en", "s", 0) for i in range(6)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.query(spark, str(tmp_path)).collect()}
+    assert set(got) == set(itertools.combinations(range(6), 2))
+    assert all(v == (1 if (a < 4) == (b < 4) else pytest.approx(56 / 58)) for (a, b), v in got.items())
+
+
 def test_tree_bound_never_drops_a_pair():
     rng = np.random.default_rng(0)
     own = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in rng.integers(1, 4000, 40)]
