@@ -51,7 +51,7 @@ class Tree:
 
 
 def repeats(docs: DataFrame, words: int = WORDS, memory: int = MEMORY) -> DataFrame:
-    """(doc_id, start, n_words, first_doc_id, first_start): what to cut so that each repeat is left once.
+    """(rid, doc_id, start, n_words, first_doc_id, first_start): what to cut so that each repeat is left once.
 
     A row for each place at which a repeat of `words` words or more begins that has
     an earlier occurrence (by doc_id, then place): the longest such repeat, and where
@@ -61,12 +61,13 @@ def repeats(docs: DataFrame, words: int = WORDS, memory: int = MEMORY) -> DataFr
 
     Rows with a null text have no words; a null doc_id is an id of its own and comes
     first. Rows equal in doc_id and text count once; rows of one doc_id with other
-    texts are documents of their own. Shorter texts have no repeats; an empty table
-    gives none. Only doc_id and text are read.
+    texts are documents of their own, told apart by rid, the hash of doc_id and text.
+    Shorter texts have no repeats; an empty table gives none. Only doc_id and text are
+    read.
     """
     cuts = S.found(docs, words, S.cutter(words, lambda f: Tree(f.lcp).inner()), S.CUTS, memory)
-    # places that two partitions of one tree answer for, or two texts of one doc_id
-    return cuts.groupBy("doc_id", "start").agg(F.max(F.struct("n_words", -F.col("first_doc_id"), -F.col("first_start"))).alias("m")).select("doc_id", "start", "m.n_words", (-F.col("m.col2")).alias("first_doc_id"), (-F.col("m.col3")).alias("first_start"))
+    # places that two partitions of one tree answer for
+    return cuts.groupBy("rid", "doc_id", "start").agg(F.max(F.struct("n_words", -F.col("first_doc_id"), -F.col("first_start"))).alias("m")).select("rid", "doc_id", "start", "m.n_words", (-F.col("m.col2")).alias("first_doc_id"), (-F.col("m.col3")).alias("first_start"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -100,6 +100,14 @@ def test_cases(spark):
     assert all(r.n_chars == len(r.text) for r in left.where("text IS NOT NULL").collect())
 
 
+def test_texts_of_one_id_are_cut_each(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(None, f"{passage} n{i}") for i in range(4)] + [(1, f"{passage} o{i}") for i in range(3)] + [(1, f"{passage} o0")]
+    got = suffix_tree.repeats(frame(spark, rows), 10).collect()
+    assert sorted((r.doc_id or 0, r.start, r.n_words) for r in got) == [(0, 0, 12)] * 3 + [(1, 0, 12)] * 3
+    assert len({r.rid for r in got}) == 6
+
+
 def test_empty(spark):
     none = frame(spark, [])
     assert suffix_array.repeats(none).count() == suffix_tree.repeats(none).count() == suffix_array.deduplicate(none).count() == 0
