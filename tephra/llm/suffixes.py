@@ -40,14 +40,8 @@ def gram_of(words: int) -> int:
     return max(1, words // 2)
 
 
-def anchors(h: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the gram at each word, starts of full windows, each window's anchor)."""
-    k = gram_of(words)
-    g = W.grams(h, k)
-    w = words - k + 1
-    m = len(g) - w + 1
-    if m <= 0:
-        return g, np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _leftmost_least(g: np.ndarray, w: int) -> np.ndarray:
+    """The place of the least of each w hashes in a row, of fewer than 2 ** 24 + 1."""
     # the lower bits hold the place, so that the leftmost of equal hashes is the least
     least = (g & ~_LOW) | np.arange(len(g), dtype=np.uint64)
     span = 1
@@ -56,12 +50,28 @@ def anchors(h: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, n
         span *= 2
     if span < w:
         least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
+    return (least & _LOW).astype(np.int64)
+
+
+def anchors(h: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the gram at each word, starts of full windows, each window's anchor)."""
+    k = gram_of(words)
+    g = W.grams(h, k)
+    w = words - k + 1
+    m = len(g) - w + 1
+    if m <= 0:
+        return g, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    chosen = np.empty(m, np.int64)
+    step = int(_LOW) + 2 - w  # windows whose grams' places fit in the lower bits
+    for a in range(0, m, step):
+        b = min(a + step, m)
+        chosen[a:b] = a + _leftmost_least(g[a : b + w - 1], w)
     ok = np.zeros(m, bool)
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= words:
             ok[a : b - words + 1] = True
     start = np.flatnonzero(ok)
-    return g, start, (least[:m][start] & _LOW).astype(np.int64)
+    return g, start, chosen[start]
 
 
 def _before(h: np.ndarray, at: np.ndarray, row: np.ndarray, first: np.ndarray, w: int, tag: np.ndarray) -> np.ndarray:

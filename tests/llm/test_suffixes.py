@@ -4,9 +4,10 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from tephra.llm import suffix_array, suffix_tree
+from tephra.llm import suffix_array, suffix_tree, suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -108,6 +109,16 @@ def test_texts_of_one_id_are_cut_each(spark):
     assert len({r.rid for r in got}) == 6
 
 
+def test_anchors_past_24_bits_of_words():
+    n = (1 << 24) + 300
+    h = np.random.default_rng(2).integers(0, 2**63, n, dtype=np.uint64)
+    g, start, chosen = suffixes.anchors(h, np.array([0, n]), 6)
+    windows = np.lib.stride_tricks.sliding_window_view(g >> np.uint64(24), 4)
+    assert len(start) == n - 5
+    for some in (slice(0, 1000), slice(-1000, None)):
+        assert (chosen[some] == start[some] + windows[start[some]].argmin(1)).all()
+
+
 def test_empty(spark):
     none = frame(spark, [])
     assert suffix_array.repeats(none).count() == suffix_tree.repeats(none).count() == suffix_array.deduplicate(none).count() == 0
