@@ -56,7 +56,7 @@ def _blocks(path: str) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
 
 
 class Best:
-    """The k best (score rounded, id) of each query so far; ties go to the smaller id."""
+    """The k best (score rounded, id) of each query so far; ties go to the smaller id. A score of -inf marks a place that is free."""
 
     def __init__(self, own: np.ndarray, k: int):
         self.own, self.k = own, k
@@ -80,7 +80,7 @@ class Best:
         begin = np.searchsorted(query, touched)
         if len(ids) > 1:
             again = np.lexsort((np.arange(len(ids)), ids, query))
-            same = (query[again][1:] == query[again][:-1]) & (ids[again][1:] == ids[again][:-1]) & (ids[again][1:] >= 0)
+            same = (query[again][1:] == query[again][:-1]) & (ids[again][1:] == ids[again][:-1]) & np.isfinite(score[again][1:])
             new[again[1:][same]] = False
         query, score, ids = query[new], score[new], ids[new]
         begin = np.searchsorted(query, touched)
@@ -135,20 +135,31 @@ def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
 
     score is rounded to six places; rank goes by the product to nine places, then by
     neighbor_id. Fewer than k rows if there are fewer other ids. Rows with a null
-    vec_id, a null embedding, one with nulls or NaN in it or of another length than
-    the longest take no part. Repeated rows count once; of several vectors of one id
-    each is a neighbour by its best product, and a query of its own whose results
-    are merged by the best. An empty table has no results. Only vec_id and embedding
-    are read.
+    vec_id, a null or empty embedding, or one that holds a null, NaN or a value of
+    1e150 or more (squares of which overflow) take no part. Products exist between
+    vectors of one length only: each length is searched by itself, and a row whose
+    length no other id has gets no neighbours. Repeated rows count once; of several
+    vectors of one id each is a neighbour by its best product, and a query of its own
+    whose results are merged by the best. An empty table has no results. Ids may be
+    negative. Only vec_id and embedding are read.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e150)), F.lit(False))
     rows = rows.where(good)
-    d = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
-    out = "vec_id long, rank int, neighbor_id long, score double"
-    if not d:
-        return vectors.sparkSession.createDataFrame([], out)
-    rows = rows.where(F.size("embedding") == d).distinct()
+    lengths = sorted(r[0] for r in rows.select(F.size("embedding")).distinct().collect() if r[0])
+    found = None
+    for d in lengths:  # one in a sound table
+        some = _products(rows.where(F.size("embedding") == d).distinct(), d, k, parts(vectors))
+        found = some if found is None else found.union(some)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "vec_id long, rank int, neighbor_id long, score double")
+    found = found.groupBy("vec_id", "neighbor_id").agg(F.max("product").alias("product"))
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("product").desc(), "neighbor_id"))).where(F.col("rank") <= k)
+    return found.select("vec_id", "rank", "neighbor_id", F.round("product", 6).alias("score"))
+
+
+def _products(rows: DataFrame, d: int, k: int, width: int) -> DataFrame:
+    """(vec_id, neighbor_id, product): the k best of each of the rows, whose vectors have d values."""
     values, axes = np.linalg.eigh(_gram(rows, d))
     axes = np.ascontiguousarray(axes[:, np.argsort(-values)])
 
@@ -167,7 +178,7 @@ def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([norm[at[0]] * (1 + 1e-12)]), pa.array([ids[at].tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())], names=["norm", "ids", "matrix"])
 
     length = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
-    laid = rows.withColumn("__n", length).repartitionByRange(parts(vectors), F.col("__n").desc(), F.xxhash64("vec_id")).mapInArrow(lay, "norm double, ids binary, matrix binary")
+    laid = rows.withColumn("__n", length).repartitionByRange(width, F.col("__n").desc(), F.xxhash64("vec_id")).mapInArrow(lay, "norm double, ids binary, matrix binary")
     index = written(laid)
     path = index.inputFiles()[0].rsplit("/", 1)[0] if index.inputFiles() else ""
 
@@ -176,19 +187,16 @@ def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
             for ids, matrix in zip(W.column(batch, "ids").to_pylist(), W.column(batch, "matrix").to_pylist()):
                 ids = np.frombuffer(ids, np.int64)
                 best = search(ids, np.frombuffer(matrix, np.float64).reshape(len(ids), d), _blocks(path), k)
-                row, rank = np.nonzero(best.id >= 0) if (ids >= 0).all() else np.nonzero(np.isfinite(best.score))
+                row, rank = np.nonzero(np.isfinite(best.score))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best.id[row, rank]), pa.array(best.score[row, rank])], names=["vec_id", "neighbor_id", "product"])
 
-    found = index.repartition(parts(vectors)).mapInArrow(ask, "vec_id long, neighbor_id long, product double")
-    found = found.groupBy("vec_id", "neighbor_id").agg(F.max("product").alias("product"))
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("product").desc(), "neighbor_id"))).where(F.col("rank") <= k)
-    return found.select("vec_id", "rank", "neighbor_id", F.round("product", 6).alias("score"))
+    return index.repartition(width).mapInArrow(ask, "vec_id long, neighbor_id long, product double")
 
 
 def top_k_sql(table: str = "embeddings", k: int = K) -> str:
     return f"""
-WITH e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM {table} WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, max(round(list_dot_product(a.v, b.v), {_DIGITS})) AS product FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL),
+WITH e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM {table} WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NOT NULL AND NOT isnan(x) AND abs(x) < 1e150)) = len(embedding)),
+p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, max(round(list_dot_product(a.v, b.v), {_DIGITS})) AS product FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY product DESC, neighbor_id) AS rank FROM p)
 SELECT vec_id, rank::INTEGER AS rank, neighbor_id, round(product, 6) AS score FROM r WHERE rank <= {k}"""
 
