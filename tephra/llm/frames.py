@@ -38,6 +38,14 @@ def uniform_sql(seed: int, *cols: str) -> str:
     return f"((('0x' || substr(md5({key}), 1, 13))::BIGINT + 0.5) / {float(2**52)!r})"
 
 
+def unused(df: DataFrame) -> str:
+    """A prefix that no column of `df` begins with, for an operator's own columns."""
+    prefix, taken = "__", [c.lower() for c in df.columns]
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

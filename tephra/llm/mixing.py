@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tephra.llm.frames import uniform, uniform_sql, written
+from tephra.llm.frames import uniform, uniform_sql, unused, written
 
 BINS = 4096
 WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 2.0}
@@ -43,37 +43,37 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     """
     weights = WEIGHTS if weights is None else weights
     docs = docs.drop("copies")
-    kept = docs.columns
+    kept, p = docs.columns, unused(docs)
     length = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("decimal(38,0)")
-    by_source = docs.groupBy("source").agg(F.sum(length).cast("decimal(38,0)").alias("__mass"), F.count(F.lit(1)).alias("__n")).withColumn("__w", _weight(weights, default_weight))
+    by_source = docs.groupBy("source").agg(F.sum(length).cast("decimal(38,0)").alias(p + "mass"), F.count(F.lit(1)).alias(p + "n")).withColumn(p + "w", _weight(weights, default_weight))
     # one row a source from here on
     every = Window.partitionBy()
-    total = F.lit(int(size)) if size is not None else F.sum("__n").over(every)
-    share = by_source.where("__w > 0").withColumn("__share", total.cast("double") * F.col("__w") / F.sum("__w").over(every)).withColumn("__total", total)
-    short = F.col("__total") - F.sum(F.floor("__share")).over(every)
-    order = Window.partitionBy().orderBy((F.col("__share") - F.floor("__share")).desc(), F.col("source").asc_nulls_first())
-    share = share.withColumn("__target", F.floor("__share") + F.when(F.row_number().over(order) <= short, 1).otherwise(0))
-    share = written(share.select(F.col("source").alias("__source"), "__mass", F.col("__target").cast("decimal(20,0)").alias("__target")))
+    total = F.lit(int(size)) if size is not None else F.sum(p + "n").over(every)
+    share = by_source.where(f"{p}w > 0").withColumn(p + "share", total.cast("double") * F.col(p + "w") / F.sum(p + "w").over(every)).withColumn(p + "total", total)
+    short = F.col(p + "total") - F.sum(F.floor(p + "share")).over(every)
+    order = Window.partitionBy().orderBy((F.col(p + "share") - F.floor(p + "share")).desc(), F.col("source").asc_nulls_first())
+    share = share.withColumn(p + "target", F.floor(p + "share") + F.when(F.row_number().over(order) <= short, 1).otherwise(0))
+    share = written(share.select(F.col("source").alias(p + "source"), p + "mass", F.col(p + "target").cast("decimal(20,0)").alias(p + "target")))
 
     def ranked(table: DataFrame) -> DataFrame:
-        d = docs.join(table, docs["source"].eqNullSafe(table["__source"]))
-        d = d.withColumn("__part", length.cast("decimal(18,0)") * F.col("__target"))
-        d = d.withColumn("__rest", F.expr("__part % __mass").cast("decimal(38,0)"))
-        u, p = uniform(seed, F.col("doc_id"), F.col("text")), F.col("__rest").cast("double") / F.col("__mass").cast("double")
-        d = d.withColumn("__whole", F.expr("__part div __mass").cast("bigint")).withColumn("__q", F.when(F.col("__rest") > 0, (u / (1 - u)) / (p / (1 - p))))
-        return d.withColumn("__bin", F.floor(F.col("__q") / (F.col("__q") + 1) * BINS))
-
-    bins = ranked(share).groupBy("__source", "__bin").agg(F.count(F.lit(1)).alias("n"), F.sum("__rest").alias("rest"), F.first("__mass").alias("__mass"), F.first("__target").alias("__target"))
-    up = Window.partitionBy("__source").orderBy(F.col("__bin").asc_nulls_last())
-    bins = bins.withColumn("lack", F.expr("sum(rest) OVER (PARTITION BY __source) div __mass").cast("bigint")).withColumn("upto", F.sum("n").over(up)).withColumn("before", F.col("upto") - F.col("n"))
-    cut = bins.groupBy("__source", "__mass", "__target").agg(
-        F.min(F.when((F.col("upto") >= F.col("lack")) & F.col("__bin").isNotNull(), F.col("__bin"))).alias("__cut"),
-        F.min_by(F.col("lack") - F.col("before"), F.when((F.col("upto") >= F.col("lack")) & F.col("__bin").isNotNull(), F.col("__bin"))).alias("__need"),
+        d = docs.join(table, docs["source"].eqNullSafe(table[p + "source"]))
+        d = d.withColumn(p + "part", length.cast("decimal(18,0)") * F.col(p + "target"))
+        d = d.withColumn(p + "rest", F.expr(f"{p}part % {p}mass").cast("decimal(38,0)"))
+        u, odds = uniform(seed, F.col("doc_id"), F.col("text")), F.col(p + "rest").cast("double") / F.col(p + "mass").cast("double")
+        d = d.withColumn(p + "whole", F.expr(f"{p}part div {p}mass").cast("bigint")).withColumn(p + "q", F.when(F.col(p + "rest") > 0, (u / (1 - u)) / (odds / (1 - odds))))
+        return d.withColumn(p + "bin", F.floor(F.col(p + "q") / (F.col(p + "q") + 1) * BINS))
+
+    bins = ranked(share).groupBy(p + "source", p + "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(p + "rest").alias("rest"), F.first(p + "mass").alias(p + "mass"), F.first(p + "target").alias(p + "target"))
+    up = Window.partitionBy(p + "source").orderBy(F.col(p + "bin").asc_nulls_last())
+    bins = bins.withColumn("lack", F.expr(f"sum(rest) OVER (PARTITION BY {p}source) div {p}mass").cast("bigint")).withColumn("upto", F.sum("n").over(up)).withColumn("before", F.col("upto") - F.col("n"))
+    cut = bins.groupBy(p + "source", p + "mass", p + "target").agg(
+        F.min(F.when((F.col("upto") >= F.col("lack")) & F.col(p + "bin").isNotNull(), F.col(p + "bin"))).alias(p + "cut"),
+        F.min_by(F.col("lack") - F.col("before"), F.when((F.col("upto") >= F.col("lack")) & F.col(p + "bin").isNotNull(), F.col(p + "bin"))).alias(p + "need"),
     )
     rows = ranked(written(cut))
-    sure = rows.where(~F.coalesce(F.col("__bin") == F.col("__cut"), F.lit(False))).withColumn("copies", F.col("__whole") + F.coalesce((F.col("__bin") < F.col("__cut")).cast("bigint"), F.lit(0)))
-    edge = Window.partitionBy("__source").orderBy("__q", F.col("doc_id").asc_nulls_first(), F.md5(F.coalesce("text", F.lit(""))))
-    drawn = rows.where(F.col("__bin") == F.col("__cut")).withColumn("copies", F.col("__whole") + (F.row_number().over(edge) <= F.col("__need")).cast("bigint"))
+    sure = rows.where(~F.coalesce(F.col(p + "bin") == F.col(p + "cut"), F.lit(False))).withColumn("copies", F.col(p + "whole") + F.coalesce((F.col(p + "bin") < F.col(p + "cut")).cast("bigint"), F.lit(0)))
+    edge = Window.partitionBy(p + "source").orderBy(p + "q", F.col("doc_id").asc_nulls_first(), F.md5(F.coalesce("text", F.lit(""))))
+    drawn = rows.where(F.col(p + "bin") == F.col(p + "cut")).withColumn("copies", F.col(p + "whole") + (F.row_number().over(edge) <= F.col(p + "need")).cast("bigint"))
     return sure.select(*kept, "copies").unionByName(drawn.select(*kept, "copies")).where("copies > 0")
 
 
