@@ -15,23 +15,30 @@ import base64
 import re
 import sys
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tephra.llm import words as W
 from tephra.llm.frames import documents, with_fields
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Entries of one generation of a worker's caches; two are kept. Results don't depend on it.
+#: Entries of one generation of a worker's caches, two of which are kept, and the characters
+#: that an entry may have: some tens of MB in all. Longer pieces are encoded each time.
+#: Results don't depend on either.
 CACHE = 300_000
-#: Rows whose new words are encoded ahead together.
-AHEAD = 1024
+CACHED = 1 << 30
+#: Characters of text whose new words are encoded ahead together (one row at least).
+AHEAD = 2_000_000
 
 
 #: Numbers that aren't decimal digits: `re` takes them for letters.
 _ODD = "".join(map(re.escape, (c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))))
-_REST = r"| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: White_Space of Unicode; `re` counts U+001C to U+001F too.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_REST = rf"| ?(?:[^{_WHITE}\w]|_)+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 _ENDS = r"'s|'t|'re|'ve|'m|'ll|'d"
 _HAS_ODD = re.compile(f"[{_ODD}]")
 _PLAIN = re.compile(rf"{_ENDS}| ?[^\W\d_]+| ?\d+{_REST}")
@@ -43,8 +50,11 @@ def pieces(text: str) -> list[str]:
     return (_PLAIN if text.isascii() or not _HAS_ODD.search(text) else _FULL).findall(text)
 
 
-_RUN = re.compile(r" \s* ")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: A space before another character than white space always begins a piece.
+_CUT = re.compile(f" (?=[^{_WHITE}])")
+_UNCUT = re.compile(rf" (?:[{_WHITE}]|\Z)")
+#: Begins a piece whatever comes in place of what follows.
+_SAFE = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
 
 
 class Vocabulary:
@@ -101,7 +111,7 @@ class Vocabulary:
         key = (u + 1) << 32 | t
         known = self._pair.get(key)
         if known is None:
-            if len(self._pair) > 4 * CACHE:
+            if len(self._pair) > 2 * CACHE:
                 self._pair.clear()
             known = self._pair[key] = self._apart(u, t) if u >= 0 else len(self.bytes[t]) == 1 or t in self._half
         return known
@@ -160,20 +170,25 @@ class _Generations(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > CACHED:
+                return value
+        self[key] = value
+        return value
+
+    def __setitem__(self, key, value):
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
-        self[key] = value
-        return value
+        super().__setitem__(key, value)
 
 
 class Encoder:
     """Whole texts: split into pieces, each encoded through its prefix table.
 
-    A single space between two other characters always begins a piece, so what
-    stands between such spaces is encoded (and remembered) on its own. Pieces that
-    are new in a batch are encoded in sorted order: each takes over the table of
-    its predecessor as far as their bytes agree.
+    A space before another character than white space always begins a piece, so what
+    stands between such spaces is encoded (and, if short, remembered) on its own.
+    Pieces that are new in a batch are encoded in sorted order: each takes over the
+    table of its predecessor as far as their bytes agree.
     """
 
     def __init__(self, path: str = VOCABULARY):
@@ -202,6 +217,8 @@ class Encoder:
         new = sorted(" " + s for s in {*new} if s not in known and s not in old)
         table, dtype, before = Prefixes(self.vocabulary), self.vocabulary.dtype, b""
         for s in new:
+            if len(s) > CACHED:
+                continue
             piece = s.encode()
             n = len(before)
             if n > len(piece):
@@ -221,9 +238,7 @@ class Encoder:
             cache.old = {}
 
     def packed(self, text: str) -> bytes:
-        if _RUN.search(text):
-            return self._plain(text)
-        head, *rest = text.split(" ")
+        head, *rest = _CUT.split(text) if _UNCUT.search(text) else text.split(" ")
         return self._plain(head) + b"".join(map(self._segment.__getitem__, rest))
 
     def encode(self, text: str) -> np.ndarray:
@@ -234,34 +249,67 @@ class Encoder:
 
 
 class Document:
-    """An encoded text that can be edited; only the part about the edit is encoded again."""
+    """An encoded text that can be edited.
+
+    The prefix tables of all pieces are kept between cuts that no edit elsewhere can move.
+    An edit looks its cuts up by bisection and takes over the tables that it leaves as they
+    are, and the part of the others before the first byte that differs.
+    """
 
     def __init__(self, encoder: Encoder, text: str = ""):
         self.encoder, self.text = encoder, text
-        self.cuts, self.parts = self._encode(text)
-
-    def _encode(self, text: str) -> tuple[list[int], list[bytes]]:
-        cuts = [0, *(m.start() for m in _SAFE.finditer(text)), len(text)]
-        return cuts, [self.encoder._plain(text[a:b]) for a, b in zip(cuts, cuts[1:])]
+        self.cuts, self.parts, _ = self._encode(text, [])
+
+    def _encode(self, text: str, old: list[Prefixes]) -> tuple[list[int], list[list[Prefixes]], int]:
+        """(cuts, the tables between them, bytes that were encoded anew)."""
+        cuts, same, rest, fresh = [0, *(m.start() for m in _SAFE.finditer(text)), len(text)], True, {}, 0
+        at = iter(old)
+        parts = []
+        for a, b in zip(cuts, cuts[1:]):
+            tables = []
+            for piece in pieces(text[a:b]):
+                piece = piece.encode("utf-8", "surrogatepass")
+                table = next(at, None) if same else None
+                if table is None or table.piece != piece:
+                    if same:
+                        same = False
+                        rest = {t.piece: t for t in at}
+                    known = rest.pop(piece, None)
+                    if known is None:
+                        known = table or Prefixes(self.encoder.vocabulary)
+                        n = _agree(known.piece, piece)
+                        fresh += len(piece) - n
+                        known.truncate(n).append(piece[n:])
+                    table = known
+                tables.append(table)
+            parts.append(tables)
+        return cuts, parts, fresh
 
     def tokens(self) -> list[int]:
-        return np.frombuffer(b"".join(self.parts), self.encoder.vocabulary.dtype).tolist()
+        return [t for part in self.parts for table in part for t in table.tokens()]
 
     def append(self, more: str) -> int:
         return self.replace(len(self.text), len(self.text), more)
 
     def replace(self, a: int, b: int, new: str) -> int:
-        """Replaces characters a to b; returns how many characters were encoded again."""
-        i = max(k for k in range(len(self.cuts) - 1) if self.cuts[k] < max(a, 1)) if len(self.cuts) > 1 else 0
-        j = min((k for k in range(1, len(self.cuts)) if self.cuts[k] > b), default=len(self.cuts) - 1)
+        """Replaces characters a to b; returns how many bytes were encoded again."""
+        i = max(bisect_left(self.cuts, max(a, 1)) - 1, 0)
+        j = min(bisect_right(self.cuts, b), len(self.cuts) - 1)
         lo, hi = self.cuts[i], self.cuts[j]
         middle = self.text[lo:a] + new + self.text[b:hi]
         self.text = self.text[:a] + new + self.text[b:]
-        cuts, parts = self._encode(middle)
+        cuts, parts, fresh = self._encode(middle, [t for part in self.parts[i:j] for t in part])
         shift = len(new) - (b - a)
         self.cuts = self.cuts[:i] + [lo + c for c in cuts] + [c + shift for c in self.cuts[j + 1 :]]
         self.parts = self.parts[:i] + parts + self.parts[j:]
-        return len(middle)
+        return fresh
+
+
+def _agree(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if n else ()
+    return int(differ[0]) if len(differ) else n
 
 
 _encoders: dict[str, Encoder] = {}
@@ -288,12 +336,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         dtype, table = enc.vocabulary.dtype, enc.vocabulary.bytes.__getitem__
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for lo in range(0, batch.num_rows, 256):
-                if lo % AHEAD == 0:
-                    enc.prepare([t for t in batch.column(at).slice(lo, AHEAD).to_pylist() if t])
-                part = batch.slice(lo, 256)
-                packed, exact = [], []
-                for text in part.column(at).to_pylist():
+            for lo, hi in W.chunks(batch.column(at), AHEAD):
+                part = batch.slice(lo, hi - lo)
+                texts, packed, exact = part.column(at).to_pylist(), [], []
+                enc.prepare([t for t in texts if t])
+                for text in texts:
                     one = None if text is None else enc.packed(text)
                     packed.append(b"" if one is None else one)
                     exact.append(None if one is None else b"".join(map(table, np.frombuffer(one, dtype).tolist())) == text.encode("utf-8", "surrogatepass"))

@@ -22,8 +22,9 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches):
         enc, counts = encoder(vocabulary), {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, AHEAD):
-                texts = [t for t in W.column(batch, "text").slice(lo, AHEAD).to_pylist() if t is not None]
+            column = W.column(batch, "text")
+            for lo, hi in W.chunks(column, AHEAD):
+                texts = [t for t in column.slice(lo, hi - lo).to_pylist() if t is not None]
                 enc.prepare(texts)
                 for text in texts:
                     n = len(enc.packed(text)) // enc.vocabulary.dtype.itemsize
