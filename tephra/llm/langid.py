@@ -2,7 +2,9 @@
 
 A word's features are its bytes' n-grams, its affixes and its entries in word
 lists of each language. Transitions between the languages of neighbouring words
-are learned with the feature weights, on sequences spliced from labelled texts.
+are learned with the feature weights, by the exact gradient of the likelihood, on
+sequences spliced from labelled texts. One more label, OTHER, stands for what is no
+known language; it is learned from the sample's words with their letters shuffled.
 Whole texts are labelled by forward-backward. Long ones are cut into blocks whose
 transfer matrices carry the exact messages across, so that all blocks of a batch
 advance together.
@@ -20,13 +22,20 @@ from tephra.llm.frames import documents, uniform, with_fields
 
 #: Bound of the labelled sample: texts of each language.
 SAMPLE = 150
+#: Characters of a sampled text that the model is fitted on.
+SAMPLE_CHARS = 20_000
 #: Hashed n-gram and affix features; word-list features follow.
 SLOTS = 1 << 16
 LISTED = 200
 BLOCK = 256
 CHUNK = 1 << 20
-#: A text is kept if the language of most of its words has this share of the probability.
+#: A text is kept if known languages have this share of its words' probability, OTHER the rest.
 SHARE = 0.5
+OTHER = "other"
+#: Training sequences for each label, the most spans that one is spliced from, and a span's least and most words.
+SEQUENCES = 100
+SPANS = 4
+SPAN_WORDS = (3, 39)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -100,11 +109,14 @@ class Model:
         return out
 
 
-def posteriors(emission: np.ndarray, first: np.ndarray, switch: np.ndarray) -> np.ndarray:
-    """Forward-backward: marginals of each word; sequence i is first[i]:first[i + 1]."""
+def messages(emission: np.ndarray, first: np.ndarray, switch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages at each word, each scaled to a sum of one; sequence i is first[i]:first[i + 1].
+
+    A label of equal chances stands before each sequence.
+    """
     n, k = emission.shape
     if not n:
-        return emission
+        return emission, emission
     score = np.exp(emission - emission.max(1, keepdims=True))
     step = np.exp(switch - switch.max()).astype(np.float32)
     size = np.diff(first)
@@ -140,26 +152,65 @@ def posteriors(emission: np.ndarray, first: np.ndarray, switch: np.ndarray) -> n
             here, after = where[has, j], where[has, j + 1]
             x = np.einsum("ijk,ik->ij", move[after], leave[after])
             leave[here] = x / x.sum(1, keepdims=True)
-    out = np.empty((n, k), np.float32)
+    ahead, back = np.empty((n, k), np.float32), np.empty((n, k), np.float32)
     x = enter
     for t in range(steps):
         at = begin[: alive[t]] + t
         x = (x[: alive[t]] @ step) * score[at]
         x /= x.sum(1, keepdims=True)
-        out[at] = x
+        ahead[at] = x
     x = leave
     for t in range(steps - 1, -1, -1):
         at, live = begin[: alive[t]] + t, alive[t]
         y = x[:live]
-        out[at] *= y
+        back[at] = y
         y = (score[at] * y) @ step.T
         y /= y.sum(1, keepdims=True)
         x[:live] = y
-    return out / out.sum(1, keepdims=True)
+    return ahead, back
+
+
+def posteriors(emission: np.ndarray, first: np.ndarray, switch: np.ndarray) -> np.ndarray:
+    """Forward-backward: marginals of each word."""
+    ahead, back = messages(emission, first, switch)
+    out = ahead * back
+    return out / out.sum(1, keepdims=True) if len(out) else out
+
+
+def gradient(emission: np.ndarray, first: np.ndarray, switch: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the labels' log likelihood, by each word's scores and by the transitions."""
+    k = emission.shape[1]
+    ahead, back = messages(emission, first, switch)
+    p = ahead * back
+    p /= p.sum(1, keepdims=True)
+    by_word = np.eye(k, dtype=np.float32)[gold] - p
+    step = np.exp(switch - switch.max())
+    heads = first[:-1][np.diff(first) > 0]
+    inner = np.ones(len(gold), bool)
+    inner[heads] = False
+    pairs = np.flatnonzero(inner)
+    seen = np.zeros((k, k))
+    np.add.at(seen, (gold[pairs - 1], gold[pairs]), 1)
+    # probability of each pair of labels: what comes before, the step, the word and what comes after
+    score = np.exp(emission - emission.max(1, keepdims=True))
+    both = ahead[pairs - 1][:, :, None] * step[None] * (score * back)[pairs][:, None, :]
+    both /= both.sum((1, 2), keepdims=True)
+    # the label before the first word isn't observed
+    start = step / step.sum(0)
+    return by_word, seen - both.sum(0, dtype=np.float64) + start * by_word[heads].sum(0, dtype=np.float64)
+
+
+def _shuffled(w: W.Words, a: int, b: int, rng: np.random.Generator) -> bytes:
+    """Words a to b - 1 with the letters of each in another order."""
+    return " ".join("".join(rng.permutation([*word])) for word in w.text(a, b).decode("utf-8", "replace").split()).encode()
 
 
-def train(texts: list[tuple[str, str]], epochs: int = 6, seed: int = 5) -> Model | None:
-    """texts: (language, text). None if there is no labelled word."""
+def train(texts: list[tuple[str, str]], epochs: int = 6, seed: int = 5, sequences: int = SEQUENCES, spans: int = SPANS, span_words: tuple[int, int] = SPAN_WORDS) -> Model | None:
+    """texts: (language, text). None if there is no labelled word.
+
+    The weights are fitted on `sequences` spliced sequences for each label, each of 1 to
+    `spans` spans of `span_words` words of one language or of OTHER; the word lists on all texts.
+    """
     labels = sorted({lang for lang, _ in texts})
     per: dict[str, list[W.Words]] = {y: [] for y in labels}
     for lang, text in sorted(texts):
@@ -173,70 +224,61 @@ def train(texts: list[tuple[str, str]], epochs: int = 6, seed: int = 5) -> Model
     for y in labels:
         h, c = np.unique(np.concatenate([w.hash for w in per[y]]), return_counts=True)
         listed.append(np.sort(h[np.argsort(-c, kind="stable")[:LISTED]]))
-    model = Model(labels, listed)
+    model = Model([*labels, OTHER], [*listed, np.zeros(0, np.uint64)])
     rng = np.random.default_rng(seed)
-    spans, gold = [], []
-    for _ in range(400):  # spliced sequences, of which most switch language
-        for _ in range(rng.integers(1, 5)):
-            y = int(rng.integers(len(labels)))
-            w = per[labels[y]][int(rng.integers(len(per[labels[y]])))]
+    k = len(model.labels)
+    first, parts, gold, count = [0], [], [], 0
+    for _ in range(sequences * k):  # most of them switch language
+        for _ in range(rng.integers(1, spans + 1)):
+            y = int(rng.integers(k))
+            source = per[labels[y if y < len(labels) else int(rng.integers(len(labels)))]]
+            w = source[int(rng.integers(len(source)))]
             a = int(rng.integers(len(w.hash)))
-            b = min(len(w.hash), a + int(rng.integers(3, 40)))
-            spans.append((w, a, b))
-            gold.append(np.full(b - a, y))
-        spans.append(None)
-    first, parts, count = [0], [], 0
-    for s in spans:
-        if s is None:
-            first.append(count)
-        else:
-            parts.append(s)
-            count += s[2] - s[1]
-    text = b" ".join(w.text(a, b) for w, a, b in parts)
-    every = W.of_bytes(text)
+            b = min(len(w.hash), a + int(rng.integers(span_words[0], span_words[1] + 1)))
+            part = w.text(a, b) if y < len(labels) else _shuffled(w, a, b, rng)
+            n = len(W.of_bytes(part).hash)
+            parts.append(part)
+            gold.append(np.full(n, y))
+            count += n
+        first.append(count)
+    every = W.of_bytes(b" ".join(parts))
     first, gold = np.array(first), np.concatenate(gold)
     feature, begin = model.features(every.data, every.start, every.end, every.hash)
     sizes = np.diff(np.append(begin, len(feature)))
     owner = np.repeat(np.arange(len(begin)), sizes)
-    k = len(labels)
-    one = np.eye(k, dtype=np.float32)[gold]
-    inner = np.ones(len(gold), bool)
-    inner[first[:-1]] = False
-    pairs = np.flatnonzero(inner)
-    seen = np.zeros((k, k), np.float32)
-    np.add.at(seen, (gold[pairs - 1], gold[pairs]), 1)
     square, square2 = np.full_like(model.weights, 1e-2), np.full_like(model.switch, 1e-2)
     for _ in range(epochs * 5):
         e = np.add.reduceat(model.weights[feature], begin, axis=0)
-        p = posteriors(e, first, model.switch)
-        rest = one - p
-        gradient = np.stack([np.bincount(feature, rest[owner, y], len(model.weights)) for y in range(k)], 1).astype(np.float32) / 50 - 1e-3 * model.weights
-        square += gradient**2
-        model.weights += 0.3 * gradient / np.sqrt(square)
-        # expected transitions: p(y', y) from the marginals' messages, by finite blocks of pairs
-        step = np.exp(model.switch)
-        score = np.exp(e - e.max(1, keepdims=True))
-        ahead = p[pairs - 1][:, :, None] * step[None] * score[pairs][:, None, :]
-        ahead /= ahead.sum((1, 2), keepdims=True)
-        change = (seen - ahead.sum(0)) / 50
+        by_word, by_switch = gradient(e, first, model.switch, gold)
+        up = np.stack([np.bincount(feature, by_word[owner, y], len(model.weights)) for y in range(k)], 1).astype(np.float32) / 50 - 1e-3 * model.weights
+        square += up**2
+        model.weights += 0.3 * up / np.sqrt(square)
+        change = (by_switch / 50).astype(np.float32)
         square2 += change**2
         model.switch += 0.1 * change / np.sqrt(square2)
     return model
 
 
-def sample(docs: DataFrame, per_language: int = SAMPLE, seed: int = 11) -> list[tuple[str, str]]:
-    """Labelled texts for training: those of the smallest hashes of each language."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    u = uniform(seed, F.col("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))
-    ids = [r[0] for r in known.select("lang", "doc_id", u.alias("u")).withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id").distinct().collect()]
-    rows = known.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", "text").collect() if ids else []
-    return [(r["lang"], r["text"]) for r in rows]
+def sample(docs: DataFrame, per_language: int = SAMPLE, seed: int = 11, most: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """Labelled texts for training: those of the smallest hashes of each language, up to `most` characters of each.
+
+    Rows that repeat an id and a text count once.
+    """
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    u = uniform(seed, F.col("doc_id"), F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "h"))
+    keys = known.select("lang", "doc_id", F.xxhash64("text").alias("h"), u.alias("u")).distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).drop("u", "rank")
+    if keys.isEmpty():
+        return []
+    rows = known.withColumn("h", F.xxhash64("text")).select("lang", "doc_id", "h", F.substring("text", 1, most).alias("text"))
+    rows = rows.join(F.broadcast(keys), ["lang", "doc_id", "h"]).dropDuplicates(["lang", "doc_id", "h"])  # per_language keys a language
+    return sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").collect())
 
 
 def describe(model: Model, share: float, texts: pa.Array):
     """For each text: language, its share, words, accepted, runs of labels (first word, label)."""
     k = len(model.labels)
+    known = k - 1
     for a, b in W.chunks(texts, CHUNK):
         w = W.Words(texts, a, b)
         _, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -258,9 +300,9 @@ def describe(model: Model, share: float, texts: pa.Array):
         for i in range(b - a):
             r = runs[edge[i] : edge[i + 1]]
             if told[i]:
-                y = int(mass[i].argmax())
-                top = float(mass[i][y] / told[i])
-                yield model.labels[y], round(top, 4), int(w.first[i + 1] - w.first[i]), top >= share, (r - w.first[i]).tolist(), [model.labels[j] for j in best[r]]
+                y = int(mass[i][:known].argmax())
+                top, all_known = float(mass[i][y] / told[i]), float(mass[i][:known].sum() / told[i])
+                yield model.labels[y], round(top, 4), int(w.first[i + 1] - w.first[i]), all_known >= share, (r - w.first[i]).tolist(), [model.labels[j] for j in best[r]]
             else:
                 yield None, None, int(w.first[i + 1] - w.first[i]), False, [], []
 
@@ -268,9 +310,12 @@ def describe(model: Model, share: float, texts: pa.Array):
 def identify(docs: DataFrame, share: float = SHARE, per_language: int = SAMPLE) -> DataFrame:
     """`docs` with language, language_share, n_words, accepted, run_start and run_language.
 
+    language is the known one of the most words; a text is accepted if known languages
+    together have `share` of its words' probability, so a text in several languages is,
+    and one in an unknown language or of junk isn't. run_language may be OTHER.
     A text whose words have no letters, an empty text and a null text have a null
     language and aren't accepted. Without any labelled row there is no model: no
-    language, and every row is accepted. Repeated rows get equal answers. Input
+    language, and every row is accepted, null texts too. Repeated rows get equal answers. Input
     columns of the new names are replaced; others are passed through.
     """
     docs = docs.drop("language", "language_share", "n_words", "accepted", "run_start", "run_language")
