@@ -11,7 +11,9 @@ whose hashes are least. Two sets of similarity J share none of them with a chanc
 of about (1 - J) ** SIGNATURE, 4e-7 at the default threshold, whatever else the
 corpus holds; sets of up to SIGNATURE / (1 - threshold) n-grams are always found.
 A pair is looked at only in the partition of the least n-gram that its signatures
-share.
+share. An n-gram that more than HEAVY signatures hold is split: its documents fall
+into pieces by a hash of their ids, and each two pieces are a partition of their own,
+so no task grows with the n-gram's frequency.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tephra.llm import words as W
-from tephra.llm.frames import broadcast_if_small, documents, parts, written
+from tephra.llm.frames import broadcast_if_small, documents, parts, unused, written
 
 N = 3
 THRESHOLD = 0.6
@@ -33,6 +35,8 @@ SIGNATURE = 16
 #: A count of this size stands for any greater one too; it bounds nothing.
 FULL = 15
 LEAF = 32
+#: Documents of one signature n-gram that are searched together; with more, pieces of as many are searched two by two.
+HEAVY = 2048
 #: Members of a class that are paired at once with as many of another.
 PIECE = 512
 
@@ -150,11 +154,14 @@ class CountTree:
         return self.order[query], self.order[node]
 
 
-def _candidates(key: int, signatures: np.ndarray, packed: list[bytes], sizes: np.ndarray, threshold: float):
-    """Pairs that survive the bound and of whose shared signature n-grams `key` is the least."""
+def _candidates(key: int, signatures: np.ndarray, packed: list[bytes], sizes: np.ndarray, threshold: float, piece: np.ndarray | None = None):
+    """Pairs that survive the bound and of whose shared signature n-grams `key` is the least; of unlike pieces only, if given."""
     lower = np.where(signatures < np.uint64(key), signatures, np.uint64(0))
     vectors = Vectors(packed)
     for i, j in CountTree(vectors.at(GROUPS)[1], sizes).pairs(threshold):
+        if piece is not None:
+            apart = piece[i] != piece[j]
+            i, j = i[apart], j[apart]
         near = vectors.near(i, j, sizes, threshold)
         i, j = i[near], j[near]
         ok = np.ones(len(i), bool)
@@ -164,19 +171,27 @@ def _candidates(key: int, signatures: np.ndarray, packed: list[bytes], sizes: np
         yield i[ok], j[ok]
 
 
+#: What a group of candidates is known by: n-gram, and the two pieces of a split one.
+_GROUP = ["key", "one", "two"]
+
+
 def _groups(batches, names: list[str]):
-    """The rows of a partition by `key`: (key, columns)."""
+    """The rows of a partition by _GROUP: (key, whether it's two pieces, columns)."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
     table = pa.Table.from_batches(batches)
-    key = table.column("key").to_numpy()
-    order = np.argsort(key, kind="stable")
-    cut = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1 if len(key) else 0))
+    key, one, two = (table.column(n).to_numpy() for n in _GROUP)
+    order = np.lexsort((two, one, key))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (key, one, two)], 0)
+    cut = np.flatnonzero(new)
     columns = [table.column(n) for n in names]
+    columns = [c.cast(pa.large_string()) if pa.types.is_string(c.type) else c for c in columns]  # a group's texts may be over 2 GB
     for lo, hi in zip(cut, [*cut[1:], len(order)]):
         if hi - lo > 1:
-            yield int(key[order[lo]]), [c.take(pa.array(order[lo:hi])) for c in columns]
+            first = order[lo]
+            yield (int(key[first]), int(one[first]), int(two[first])), [c.take(pa.array(order[lo:hi])) for c in columns]
 
 
 def _matrix(column, dtype, width: int) -> np.ndarray:
@@ -222,34 +237,37 @@ def _found(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFr
             yield pa.RecordBatch.from_arrays([pa.array(keys[row, place]), W.column(batch, "doc_id").take(pa.array(row))], names=["key", "doc_id"])
 
     postings = classes.select("doc_id", "signature").mapInArrow(explode, "key long, doc_id long")
-    several = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    several = written(postings.join(several, "key"))
+    several = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    split = F.ceil(F.col("c") / HEAVY).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
+    several = postings.join(several, "key").withColumn("n", split).withColumn("piece", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    several = written(several.select("key", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"), "piece", "doc_id"))
     width = parts(docs)
 
     def search(batches):
-        for key, (ids, size, signature, vector) in _groups(batches, ["doc_id", "size", "signature", "vector"]):
+        for (key, one, two), (ids, piece, size, signature, vector) in _groups(batches, ["doc_id", "piece", "size", "signature", "vector"]):
             found = np.zeros(len(ids), bool)
-            for i, j in _candidates(np.int64(key).view(np.uint64), _matrix(signature, np.uint64, SIGNATURE), vector.to_pylist(), size.to_numpy(), threshold):
+            for i, j in _candidates(np.int64(key).view(np.uint64), _matrix(signature, np.uint64, SIGNATURE), vector.to_pylist(), size.to_numpy(), threshold, piece.to_numpy() if one < two else None):
                 found[i] = found[j] = True
             if found.any():
                 at = np.flatnonzero(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), ids.take(pa.array(at)).combine_chunks()], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(np.full(len(at), one, np.int32)), pa.array(np.full(len(at), two, np.int32)), piece.take(pa.array(at)).combine_chunks(), ids.take(pa.array(at)).combine_chunks()], names=[*_GROUP, "piece", "doc_id"])
 
-    wanted = several.join(classes.select("doc_id", "size", "signature", "vector"), "doc_id").repartition(width, "key").mapInArrow(search, "key long, doc_id long")
+    wanted = several.join(classes.select("doc_id", "size", "signature", "vector"), "doc_id").repartition(width, *_GROUP).mapInArrow(search, "key long, one int, two int, piece int, doc_id long")
     wanted = written(wanted.distinct())
 
     def verify(batches):
-        for key, (ids, texts) in _groups(batches, ["doc_id", "text"]):
-            ids, own = ids.to_numpy(), list(sets(texts.combine_chunks(), n))
+        for (key, one, two), (ids, piece, texts) in _groups(batches, ["doc_id", "piece", "text"]):
+            ids, piece, own = ids.to_numpy(), piece.to_numpy(), list(sets(texts.combine_chunks(), n))
             once = {(int(ids[r]), s.tobytes()): r for r, s in enumerate(own) if len(s)}  # repeated rows
-            ids, own = ids[[*once.values()]], [own[r] for r in once.values()]
+            ids, piece, own = ids[[*once.values()]], piece[[*once.values()]], [own[r] for r in once.values()]
             sizes = np.array([len(s) for s in own])
             classes = np.array([_class_of(s) for s in own], np.int64)
             every, place = np.unique(np.concatenate(own), return_inverse=True)
             first = np.concatenate([[0], np.cumsum(sizes)])
             mark = np.zeros(len(every), bool)
             out = [[], [], [], [], []]
-            for i, j in _candidates(np.int64(key).view(np.uint64), np.stack([_signature(s) for s in own]), [_vector(s) for s in own], sizes, threshold):
+            for i, j in _candidates(np.int64(key).view(np.uint64), np.stack([_signature(s) for s in own]), [_vector(s) for s in own], sizes, threshold, piece if one < two else None):
                 order = np.argsort(i, kind="stable")
                 i, j = i[order], j[order]
                 cut = np.flatnonzero(np.diff(i, prepend=-1))
@@ -270,7 +288,7 @@ def _found(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFr
                 a, b, value, of_a, of_b = map(np.concatenate, out)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(value), *(pa.array(x) for x in (*of_a.T, *of_b.T))], names=["doc_id_a", "doc_id_b", "jaccard", "a1", "a2", "a3", "b1", "b2", "b3"])
 
-    near = docs.join(broadcast_if_small(wanted), "doc_id").repartition(width, "key").select("key", "doc_id", "text")
+    near = docs.join(broadcast_if_small(wanted), "doc_id").repartition(width, *_GROUP).select(*_GROUP, "piece", "doc_id", "text")
     near = near.mapInArrow(verify, "doc_id_a long, doc_id_b long, jaccard double, a1 long, a2 long, a3 long, b1 long, b2 long, b3 long")
     near = near.select("doc_id_a", "doc_id_b", "jaccard", *(F.struct(F.col(x + "1").alias("sum1"), F.col(x + "2").alias("sum2"), F.col(x + "3").cast("long").alias("size")).alias(x) for x in "ab"))
     return described, classes, near
@@ -327,6 +345,16 @@ def all_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, piece:
     return out
 
 
+def all_pairs_sql(table: str = "documents", threshold: float = THRESHOLD) -> str:
+    """The pairs of `all_pairs` for 3-grams, from a join on every n-gram."""
+    return rf"""
+WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') AS w FROM {table} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT doc_id, row_number() OVER () AS r, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) > 0),
+p AS (SELECT r, doc_id, len(g) AS n, unnest(g) AS gram FROM s),
+c AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS both_have FROM p a JOIN p b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.r, b.r, a.doc_id, b.doc_id)
+SELECT doc_id_a, doc_id_b, max(both_have::DOUBLE / (m + n - both_have)) AS jaccard FROM c WHERE both_have::DOUBLE / (m + n - both_have) >= {threshold} GROUP BY doc_id_a, doc_id_b"""
+
+
 def components(edges: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> DataFrame:
     """(doc_id, root): the smallest id that each id hangs together with; roots included.
 
@@ -375,9 +403,9 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Da
     Repeated rows of that doc_id all stay, as do rows that take no part in the join.
     """
     pairs = written(join(docs, threshold, n))
-    gone = components(pairs).where("doc_id <> root").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    return kept
+    name = unused(docs) + "gone"
+    gone = components(pairs).where("doc_id <> root").select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
