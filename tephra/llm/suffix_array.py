@@ -18,6 +18,10 @@ from tephra.llm import suffixes as S
 from tephra.llm.frames import documents, written
 
 WORDS = S.WORDS
+#: Bytes of text whose suffixes are unpacked at once.
+MEMORY = 64 << 20
+#: Occurrences in a batch of rows.
+ROWS = 1 << 16
 
 
 def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -38,51 +42,60 @@ def inner(f: S.Family) -> Iterator[tuple[int, int, int]]:
 
 def _groups(words: int):
     def work(keys):
-        for members, _, _ in keys:
-            rows = [[], [], [], [], []]
+        for members, low, high in keys:
+            rows, held = [[], [], [], [], [], [], []], 0
             for f in S.openings(members, words):
                 for depth, lo, hi in intervals(f.lcp):
-                    if f.maximal(lo, hi, depth, words):
+                    if low <= depth < high and f.maximal(lo, hi, depth, words):
                         at = lo + np.argsort(f.rank[lo : hi + 1])
                         rid, start = f.rid[at], f.start[at]
                         head = np.flatnonzero(np.concatenate([[True], (rid[1:] != rid[:-1]) | (start[1:] != start[:-1] + 1)]))
-                        doc = f.doc[at[head]].tolist()
-                        if not f.known[at[head]].all():
-                            doc = [d if known else None for d, known in zip(doc, f.known[at[head]])]
-                        for to, x in zip(rows, (S.repeat_id(f.members[lo], f.o, f.o + depth), f.o + depth, doc, start[head].tolist(), np.diff(np.append(head, len(at))).tolist())):
+                        first, n = at[head], len(head)
+                        new = (np.full(n, S.repeat_id(f.members[lo], f.o, f.o + depth)), np.full(n, f.o + depth), f.rid[first], f.doc[first], f.known[first], f.start[first], np.diff(np.append(head, len(at))))
+                        for to, x in zip(rows, new):
                             to.append(x)
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.int32())), pa.array(rows[4], pa.list_(pa.int32()))],
-                    names=["repeat_hash", "n_words", "doc_ids", "starts", "times"],
-                )
+                        held += n
+                        if held >= ROWS:
+                            yield _batch(rows)
+                            rows, held = [[], [], [], [], [], [], []], 0
+            if held:
+                yield _batch(rows)
 
     return work
 
 
-def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(repeat_hash, n_words, doc_ids, starts, times): each maximal repeat of `words` words or more, with all occurrences.
+def _batch(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+    repeat, n, rid, doc, known, start, times = map(np.concatenate, rows)
+    columns = [pa.array(repeat, pa.int64()), pa.array(n.astype(np.int32)), pa.array(rid), pa.array(doc, mask=~known), pa.array(start.astype(np.int32)), pa.array(times.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["repeat_hash", "n_words", "rid", "doc_id", "start", "times"])
 
-    doc_ids, starts (word numbers) and times go in parallel, in order; times: so many
-    occurrences begin there, each a word after the other. A repeat is maximal if neither its left nor its right neighbour word is the same in all
-    occurrences. Words are runs of bytes other than ASCII white space.
+
+def repeats(docs: DataFrame, words: int = WORDS, memory: int = MEMORY) -> DataFrame:
+    """(repeat_hash, n_words, rid, doc_id, start, times): each maximal repeat of `words` words or more, with all occurrences.
+
+    A row for each occurrence, at word number `start`; `times` of them begin there, each a
+    word after the other (more than one only in runs of one word). A repeat is maximal if
+    neither its left nor its right neighbour word is the same in all occurrences. Words are
+    runs of bytes other than ASCII white space. Suffixes of more than `memory` bytes under
+    one anchor are worked in parts; it changes no result.
 
     Rows with a null text have no words; a null doc_id is an id of its own. Rows
     equal in doc_id and text count once; rows of one doc_id with other texts are
-    documents of their own. Texts under `words` words have no repeats; an empty
-    table gives none. Only doc_id and text are read.
+    documents of their own, told apart by rid, the hash of doc_id and text. Texts
+    under `words` words have no repeats; an empty table gives none. Only doc_id and
+    text are read.
     """
-    return S.found(docs, words, _groups(words), "repeat_hash long, n_words int, doc_ids array<long>, starts array<int>, times array<int>")
+    return S.found(docs, words, _groups(words), "repeat_hash long, n_words int, rid long, doc_id long, start int, times int", memory)
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = WORDS, memory: int = MEMORY) -> DataFrame:
     """`docs` with all but the first occurrence of each repeat cut from the texts.
 
     First is the one of the least doc_id and place. Occurrences that overlap the
     first one stay. A text of which no word is left goes.
     Repeated rows are cut alike. n_chars is counted anew.
     """
-    return S.removed(docs, written(S.found(docs, words, S.cutter(words, inner), S.CUTS)))
+    return S.removed(docs, written(S.found(docs, words, S.cutter(words, inner), S.CUTS, memory)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

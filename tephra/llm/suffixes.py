@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tephra.llm import words as W
-from tephra.llm.frames import parts
+from tephra.llm.frames import parts, unused
 
 WORDS = 50
 ROWS = "key long, rid long, doc_id long, at int, times int, left int, size int, body binary"
@@ -365,13 +365,13 @@ def cutter(words: int, inner: Callable[[Family], Iterator[tuple[int, int, int]]]
 
 def removed(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     """`docs` without the words that `cuts` (rid, start, n_words) covers, n_chars counted anew; a text left without words goes."""
-    spans = cuts.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("start", "n_words")).alias("__cuts"))
-    names = docs.columns
-    joined = docs.withColumn("__own", row_id()).join(spans, F.col("__own") == F.col("__rid"), "left").select(*names, F.col("__cuts.start").alias("__start"), F.col("__cuts.n_words").alias("__n"))
+    p, names = unused(docs), docs.columns
+    spans = cuts.groupBy(F.col("rid").alias(p + "rid")).agg(F.collect_list(F.struct("start", "n_words")).alias(p + "cuts"))
+    joined = docs.withColumn(p + "own", row_id()).join(spans, F.col(p + "own") == F.col(p + "rid"), "left").select(*names, F.col(p + "cuts.start").alias(p + "start"), F.col(p + "cuts.n_words").alias(p + "n"))
 
     def run(batches):
         for batch in batches:
-            texts, starts, counts = W.column(batch, "text"), W.column(batch, "__start"), W.column(batch, "__n")
+            texts, starts, counts = W.column(batch, "text"), W.column(batch, p + "start"), W.column(batch, p + "n")
             new, stays = texts.to_pylist(), np.ones(len(texts), bool)
             for i in np.flatnonzero(starts.is_valid().to_numpy(zero_copy_only=False)):
                 if new[i] is None:
