@@ -1,5 +1,6 @@
 """The other operators against brute force, SQL and edge cases."""
 
+import base64
 import itertools
 import random
 import re
@@ -32,7 +33,7 @@ def frame(spark, rows=PLAIN):
 def clashing(spark):
     """Extra columns named as operators name their own."""
     df = frame(spark)
-    for name in ("copies", "key", "size", "rid", "tokens", "language", "shard_id", "at", "__x", "u", "root", "signature"):
+    for name in ("copies", "key", "size", "rid", "tokens", "language", "shard_id", "at", "__x", "u", "root", "signature", "h", "piece", "__part", "__rest", "__mass", "__bin", "__h", "__size", "__gone", "___bin", "n_tokens"):
         df = df.withColumn(name, F.lit("mine"))
     return df
 
@@ -61,8 +62,9 @@ def made(n, seed=1):
 def test_every_case_and_clashing_names(spark, operator):
     run = {"mix": mixing.mix, "encode": bpe.encode, "identify": langid.identify, "one_of_each": ngram_join.one_of_each, "shard": shards.shard, "keep": rules.keep}[operator]
     own = {"mix": "copies", "encode": "tokens", "identify": "language", "shard": "shard_id"}.get(operator)
-    full = run(clashing(spark))
-    assert full.where(F.col("key") != "mine").count() == 0
+    full = run(clashing(spark)).cache()
+    for name in ("key", "h", "__part", "__rest", "__mass", "__bin", "__h", "__size", "__gone", "___bin"):
+        assert full.where(F.col(name) != "mine").count() == 0
     if own:
         assert full.where(F.col(own).cast("string") == "mine").count() == 0
     assert run(frame(spark, [])).count() == 0
@@ -160,6 +162,22 @@ def test_tree_bound_never_drops_a_pair():
             assert (i, j) in found
 
 
+def test_heavy_ngrams_are_split(spark, monkeypatch):
+    rng, rows = random.Random(9), []
+    common = " ".join(f"c{i}" for i in range(30))
+    for i in range(90):  # of one set of frequent n-grams, with a word or more of their own
+        rows.append((i, common + " " + " ".join(f"own{i}x{k}" for k in range(rng.choice([1, 4, 30]))), "en", "s", 0))
+    expected = {}
+    for (d, x), (e, y) in itertools.combinations([(r[0], ngrams(r[1])) for r in rows], 2):
+        if len(x & y) / len(x | y) >= ngram_join.THRESHOLD:
+            expected[d, e] = len(x & y) / len(x | y)
+    for heavy in (2048, 7):
+        monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+        got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.all_pairs(frame(spark, rows)).collect()}
+        assert got == pytest.approx(expected) and len(got) > 1000
+    same(ngram_join.all_pairs(frame(spark, rows)), sql(spark, frame(spark, rows), ngram_join.all_pairs_sql()))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).select(F.col("id").alias("doc_id_a"), (F.col("id") + 1).alias("doc_id_b")).repartition(7)
     assert {r.root for r in ngram_join.components(edges).collect()} == {0}
@@ -183,16 +201,27 @@ def test_mixing_follows_inclusion_odds(spark):
 
 
 def test_shards(spark):
+    empty = shards.shard(frame(spark, []))
+    assert empty.count() == 0 and empty.columns[-1] == "shard_id"
     for rows, target in ((made(400), 2000), (made(400) + [(9, "y" * 300 + str(i), "en", "s", 0) for i in range(50)], 2000), (PLAIN, 100), (PLAIN, 1 << 20)):
         df = frame(spark, rows)
-        got = shards.shard(df, target)
-        same(got, sql(spark, df, shards.shard_sql(target=target)))
+        got = shards.shard(df, target, least=1)
+        same(got, sql(spark, df, shards.shard_sql(target=target, least=1)))
+        whole = got.withColumn("part", F.spark_partition_id()).groupBy("shard_id").agg(F.countDistinct("part").alias("n"))
+        assert whole.where("n > 1").count() == 0
         sizes = got.groupBy("shard_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n"), F.max(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("most")).collect()
         repeats = max(r["count"] for r in df.groupBy("doc_id", "text").count().collect())
         assert all(r.n <= shards.OVER * target + repeats * r.most for r in sizes)
         assert got.count() == len(rows)
 
 
+def test_shards_are_many_by_default(spark):
+    df = frame(spark, [(i, "word " * (i % 37), "en", "s", 0) for i in range(3000)])
+    got = shards.shard(df)
+    assert got.select("shard_id").distinct().count() > 300
+    same(got, sql(spark, df, shards.shard_sql()))
+
+
 def test_token_counts(spark):
     tiktoken = pytest.importorskip("tiktoken")
     vocabulary = bpe.Vocabulary(bpe.VOCABULARY)
@@ -240,11 +269,127 @@ def test_bpe(spark):
         assert doc.tokens() == other.encode_ordinary(doc.text)
     long = bpe.Document(enc, "word " * 5000 + "end")
     assert long.replace(9999, 10003, "w") < 100
+    solid = bpe.Document(enc, "abc" * 5000)  # one piece: an append encodes what is new alone
+    assert solid.append("def") == 3 and solid.tokens() == other.encode_ordinary(solid.text)
     out = {r.doc_id: r for r in bpe.encode(frame(spark)).collect()}
     assert out[3].tokens is None and out[3].n_tokens is None and out[4].tokens == [] and all(r.exact for r in out.values() if r.text is not None)
     assert out[5].tokens == other.encode_ordinary(PLAIN[6][1])
 
 
+def vocabulary(path, *tokens):
+    """All single bytes and then `tokens`, as a rank file."""
+    every = [bytes([i]) for i in range(256)] + list(tokens)
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(every)))
+    return str(path)
+
+
+def test_bpe_on_white_space(tmp_path):
+    enc = bpe.Encoder(vocabulary(tmp_path / "v", b"\n ", b" \x1c", b" b", b"\n\n", b"\n \n", b"  ", b"\x1c\x1c"))
+    t = {bytes(v): r for v, r in enc.vocabulary.rank.items()}
+    one = lambda s: [t[bytes([c])] for c in s.encode()]
+    for text, tokens in {
+        "a\n ": one("a") + [t[b"\n "]],
+        "a\n b": one("a\n") + [t[b" b"]],
+        "a\n \nb": one("a") + [t[b"\n "]] + one("\nb"),
+        "a \x1c": one("a") + [t[b" \x1c"]],
+        "a \x1c\x1cb": one("a") + [t[b" \x1c"]] + one("\x1cb"),
+        "  b": one(" ") + [t[b" b"]],
+        "b  ": one("b") + [t[b"  "]],
+        "\u3000 b": one("\u3000") + [t[b" b"]],
+        "b \u2003": one("b \u2003"),
+    }.items():
+        for ahead in (False, True):
+            if ahead:
+                enc.prepare([text])
+            assert enc.encode(text).tolist() == tokens, repr(text)
+            assert bpe.Document(enc, text).tokens() == tokens and enc.decode(tokens) == text
+
+
+def test_bpe_of_fixed_texts():
+    enc = bpe.encoder(bpe.VOCABULARY)
+    assert enc.encode("Hello world").tolist() == [15496, 995]
+    assert enc.encode("hello, it's 42!\n\n  x").tolist() == [31373, 11, 340, 338, 5433, 0, 628, 220, 2124]
+    assert enc.encode("").tolist() == []
+
+
+def test_pieces_against_another_tokenizer(tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    enc = bpe.Encoder(vocabulary(tmp_path / "v", b"\n ", b" \x1c", b" b", b"\n\n", b"\n \n", b"  ", b" \x1c\x1d", b"\xc2\xa0", b"\xc2\xa0 "))
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=enc.vocabulary.rank, special_tokens={})
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "b", " ", " ", "\n", "\t", "\x1c", "\x1d", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u200b", "é", "'s", "1", "."]) for _ in range(rng.randint(0, 12)))
+        enc.prepare([text])
+        assert enc.encode(text).tolist() == other.encode_ordinary(text), repr(text)
+        doc = bpe.Document(enc, text)
+        a = rng.randint(0, len(text))
+        doc.replace(a, rng.randint(a, len(text)), rng.choice(["", " ", "\n", "b", " b"]))
+        assert doc.tokens() == other.encode_ordinary(doc.text), repr(doc.text)
+
+
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(1)
+    first = np.array([0, 4, 4, 5, 9])
+    gold = rng.integers(0, 3, 9)
+    e, switch = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
+
+    def likelihood(e, switch):
+        """By summing over all label sequences; any label may stand before the first word."""
+        total = 0.0
+        for lo, hi in zip(first, first[1:]):
+            if hi == lo:
+                continue
+            weight = lambda y: np.exp(switch[:, y[0]]).sum() * np.exp(sum(e[lo + t, y[t]] for t in range(hi - lo)) + sum(switch[y[t - 1], y[t]] for t in range(1, hi - lo)))
+            total += np.log(weight(tuple(gold[lo:hi]))) - np.log(sum(weight(y) for y in itertools.product(range(3), repeat=hi - lo)))
+        return total
+
+    by_word, by_switch = langid.gradient(e, first, switch, gold)
+    for x, got in ((e, by_word), (switch, by_switch)):
+        for at in np.ndindex(x.shape):
+            x[at] += 1e-5
+            up = likelihood(e, switch)
+            x[at] -= 2e-5
+            down = likelihood(e, switch)
+            x[at] += 1e-5
+            assert got[at] == pytest.approx((up - down) / 2e-5, abs=1e-4)
+
+
+def held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    return docs.where("length(text) > 300")
+
+
+def test_accuracy_on_spliced_words_and_junk(spark):
+    import pyarrow as pa
+
+    docs = held_out(spark)
+    chosen = langid.sample(docs, 12)
+    model = langid.train(chosen)
+    seen = {t for _, t in chosen}
+    rest = [(r.lang, r.text.split()) for r in docs.collect() if r.text not in seen and r.lang in model.labels and "###" not in r.text and "%%%" not in r.text]
+    rng = random.Random(4)
+    right = total = 0
+    for _ in range(60):
+        (a, x), (b, y) = rng.sample(rest, 2)
+        x, y = x[:40], y[:40]
+        _, _, n, accepted, starts, labels = next(langid.describe(model, langid.SHARE, pa.array([" ".join(x + y)])))
+        got = [labels[sum(s <= i for s in starts) - 1] for i in range(n)]
+        right += sum(g == (a if i < len(x) else b) for i, g in enumerate(got))
+        total += n
+    assert right / total > 0.85
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)) for _ in range(30)]
+    assert sum(d[3] for d in langid.describe(model, langid.SHARE, pa.array(junk))) <= 3
+    assert sum(d[3] for d in langid.describe(model, langid.SHARE, pa.array([" ".join(x) for _, x in rest]))) >= 0.97 * len(rest)
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(1, "the cat and the dog " * 4000 + str(i), "en", "s", 0) for i in range(30)] + [(2, "der Hund", "de", "s", 0)] * 20
+    got = langid.sample(frame(spark, rows), 5, most=1000)
+    assert len(got) == 6 and max(len(t) for _, t in got) == 1000
+    assert langid.sample(frame(spark, []), 5) == []
+
+
 def test_forward_backward_against_plain():
     rng = np.random.default_rng(0)
     first = np.array([0, 0, 3, 900, 1500])
@@ -285,12 +430,15 @@ def test_language_accuracy_on_held_out_texts(spark):
 
 def test_rules(spark):
     rows = PLAIN + [(1000 + i, *r[1:]) for i, r in enumerate(made(100))] + [(200, "#%& " * 30, "en", "s", 0), (201, "AAA BBB CCC", "en", "s", 0), (202, "a. b! c?\n" * 20, "en", "s", 0), (203, "12 34 56", "en", "s", 0)]
+    rows += [(300, "\n".join(f"- point {i} of it" for i in range(9)), "en", "s", 0), (301, "\n".join(f"line {i} goes on..." for i in range(9)), "en", "s", 0), (302, "\n\n".join(["the same"] * 5), "en", "s", 0), (303, " ".join(f"wo{i}rd" for i in range(60)), "en", "s", 0), (304, "the one two three four of " * 40, "en", "s", 0), (305, " ".join(f"wo{i}rd of the" for i in range(60)), "en", "s", 0)]
     df = frame(spark, rows)
     got = rules.keep(df)
     same(got, sql(spark, df, rules.keep_sql()))
     kept = {r.doc_id for r in got.collect()}
-    assert {1, 2, 6} <= kept and not kept & {3, 5, 7, 200, 201, 202, 203}
+    assert {1, 2, 6, 305} <= kept and not kept & {3, 5, 7, 200, 201, 202, 203, 300, 301, 302, 303, 304}
     order = rules.estimate(df, rules.rules())
+    runs = [[e.rule.name for e in rules.estimate(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), rules.rules())] for _ in range(5)]
+    assert all(r == runs[0] for r in runs)
     assert {e.rule.name for e in order} == {r.name for r in rules.rules()} and order[0].rejected > 0
     assert rules.keep(df, list(reversed(rules.rules())), 5).count() == got.count()
 
@@ -337,6 +485,22 @@ def test_top_k(spark, kind):
     assert topk.top_k(vectors(spark, [])).count() == 0
 
 
+def test_top_k_of_negative_ids_and_odd_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i - 1500, [float(v) for v in x], 0) for i, x in enumerate(rng.normal(size=(2600, 4)))]
+    rows += [(7777, [float(v) for v in x], 0) for x in rng.normal(size=(60, 4)) * 9] + [(-1, [1.0] * 4, 0), (8000, [1.0] * 5, 0), (8001, [2.0] * 3, 0), (8002, [3.0] * 3, 0), (8003, [1e200] * 3, 0)]
+    df = vectors(spark, []).sparkSession.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = topk.top_k(df).cache()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.register("some", df.select("vec_id", "embedding").toPandas())
+    con.execute("INSERT INTO embeddings SELECT * FROM some")
+    expected = {(r[0], r[1]): r[2] for r in con.execute(f"SELECT vec_id, rank, neighbor_id FROM ({topk.top_k_sql()})").fetchall()}
+    assert {(r.vec_id, r.rank): r.neighbor_id for r in got.collect()} == expected
+    assert got.where("vec_id = 7777").count() == 10 and got.where("vec_id = 8000").count() == 0
+    assert [r.neighbor_id for r in got.where("vec_id = 8001").collect()] == [8002]
+
+
 @pytest.mark.parametrize("n, copies", [(1000, 3), (2500, 3), (2500, 5), (700, 100)])
 def test_top_k_where_many_ids_have_several_vectors(n, copies):
     rng = np.random.default_rng(7)
