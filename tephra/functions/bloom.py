@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +47,17 @@ def level_capacity(level: Column, base: int = BUFFER_BYTES) -> Column:
     return (F.lit(base) * F.pow(F.lit(float(SIZE_RATIO)), level)).cast("long")
 
 
-def positions(key: Column, m: int, k: int) -> Column:
-    """The k bit positions of a key (its text, so keys must print alike on both sides)."""
+def halves(key: Column) -> tuple[Column, Column]:
+    """Two 32-bit hashes of a key (of its text, so keys must print alike on both sides)."""
     digest = F.md5(key.cast("string"))
-    h1, h2 = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (h1 + i.cast("long") * h2) % F.lit(m))
+    return tuple(F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
+
+
+def positions(key: Column, m: int | Column, k: int | Column) -> Column:
+    """The k bit positions of a key."""
+    m, k = (x if isinstance(x, Column) else F.lit(x) for x in (m, k))
+    h1, h2 = halves(key)
+    return F.transform(F.sequence(F.lit(0), (k - 1).cast("int")), lambda i: (h1 + i.cast("long") * h2) % m)
 
 
 def build(members: DataFrame, m: int, k: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -59,11 +67,36 @@ def build(members: DataFrame, m: int, k: int, by: tuple[str, ...] = ()) -> DataF
     return members.select(*by, F.explode(positions(F.col("key"), m, k)).alias("position")).distinct()
 
 
-def probe(keys: DataFrame, bits: DataFrame, m: int, k: int) -> DataFrame:
+#: A filter of up to so many bits is probed as one array of bytes that every worker gets; a larger one by a join on positions.
+ARRAY_BITS = 1 << 27
+
+
+def packed(bits: DataFrame, m: int) -> np.ndarray:
+    """The filter as bytes, on the driver; for filters of a checked size."""
+    byte = F.floor(F.col("position") / 8)
+    rows = bits.groupBy(byte.alias("at")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("position") % 8).cast("int")).alias("byte")).toArrow()
+    out = np.zeros(-(-m // 8), np.uint8)
+    out[rows.column("at").to_numpy()] = rows.column("byte").to_numpy()
+    return out
+
+
+def probe(keys: DataFrame, bits: DataFrame, m: int, k: int, most: int = ARRAY_BITS) -> DataFrame:
     """(key, maybe) for each distinct key: whether all its bits are set. No filter (m = 0) admits all."""
     keys = keys.select("key").distinct()
     if not m:
         return keys.withColumn("maybe", F.lit(True))
+    if m <= most:
+        shared = keys.sparkSession.sparkContext.broadcast(packed(bits, m))
+
+        @F.pandas_udf("boolean")
+        def held(h1: pd.Series, h2: pd.Series) -> pd.Series:
+            a, b, ok = h1.to_numpy(), h2.to_numpy(), np.ones(len(h1), bool)
+            for i in range(k):
+                at = (a + i * b) % m
+                ok &= shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+            return pd.Series(ok)
+
+        return keys.select("key", held(*halves(F.col("key"))).alias("maybe"))
     wanted = keys.select("key", F.explode(F.array_distinct(positions(F.col("key"), m, k))).alias("position"))
     met = wanted.join(bits.withColumn("set", F.lit(1)), "position", "left")
     return met.groupBy("key").agg((F.count("set") == F.count(F.lit(1))).alias("maybe"))

@@ -8,12 +8,35 @@ from pyspark.sql import functions as F
 QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 
 
-def key_profile(positives: DataFrame) -> dict[str, object]:
-    """Bounds and quantiles of the keys that exist: a few numbers, on the driver."""
-    row = positives.agg(F.min("key").cast("double"), F.max("key").cast("double"), F.percentile("key", F.array(*map(F.lit, QUANTILES)))).first()
+#: Ranks of quantiles are off by one part in so many at most; the sketch is of that size whatever the keys' number.
+ACCURACY = 100_000
+
+
+def key_profile(positives: DataFrame, accuracy: int = ACCURACY) -> dict[str, object]:
+    """Bounds and quantiles (keys that occur) of the keys that exist: a few numbers, on the driver."""
+    row = positives.agg(F.min("key").cast("double"), F.max("key").cast("double"), F.percentile_approx(F.col("key").cast("double"), list(QUANTILES), accuracy)).first()
     return {"lo": row[0], "hi": row[1], "quantiles": list(row[2] or [])}
 
 
+def boundary_features(fences: list[tuple[float, float]], key: Column | None = None) -> list[Column]:
+    """6 numbers of a key by pages' bounds (min_key, max_key), in order: the page that it falls to by a search of the
+    bounds and that page's place, distances to its bounds, whether it lies inside, and its place in the page."""
+    x = (F.col("key") if key is None else key).cast("double")
+
+    def search(lo: int, hi: int, leaf) -> Column:
+        if hi - lo == 1:
+            return leaf(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(fences[mid][0]), search(lo, mid, leaf)).otherwise(search(mid, hi, leaf))
+
+    if not fences:
+        return [F.lit(0.0).alias(f"b{i}") for i in range(6)]
+    n = len(fences)
+    at, low, high = (search(0, n, leaf) for leaf in (lambda i: F.lit(float(i)), lambda i: F.lit(fences[i][0]), lambda i: F.lit(fences[i][1])))
+    out = [at, at / n, x - low, high - x, ((x >= low) & (x <= high)).cast("double"), F.coalesce((x - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))]
+    return [c.alias(f"b{i}") for i, c in enumerate(out)]
+
+
 def membership_features(profile: dict[str, object], key: Column | None = None) -> list[Column]:
     """45 numbers of a key: its place among the keys, distances, buckets, hashes and hash bits."""
     x = (F.col("key") if key is None else key).cast("double")

@@ -91,15 +91,22 @@ def negatives(keys: DataFrame, ratio: float = 1.0, margin: float = 0.1, seed: in
     return many.select(made.alias("key")).distinct().join(keys, "key", "left_anti")
 
 
-def membership_set(log: DataFrame, most: int = 10_000, ratio: float = 1.0, margin: float = 0.1, seed: int = 7) -> DataFrame:
-    """(level, key, label) of each level: at most `most` of its keys, and keys that it lacks."""
+def membership_set(log: DataFrame, most: int = 10_000, ratio: float = 1.0, margin: float = 0.1, seed: int = 7, least: int = 0) -> DataFrame:
+    """(level, key, label) of each level: at most `most` of its keys, and keys that it lacks.
+
+    A level of fewer than `least` keys gets moved copies of them as well, by a thousandth
+    of its range at most.
+    """
     levels = [r[0] for r in log.select("level").distinct().orderBy("level").collect()]
     out = None
     for level in levels:
         own = log.where(F.col("level") == level).select(F.col("key").cast("double").alias("key")).distinct()
-        yes = own.withColumn("u", draw(seed, F.col("key"))).orderBy("u", "key").limit(most).select("key", F.lit(1.0).alias("label"))
+        yes = own.withColumn("u", draw(seed, F.col("key"))).orderBy("u", "key").limit(most).select("key")
         no = negatives(yes, ratio, margin, seed).join(own, "key", "left_anti").select("key", F.lit(0.0).alias("label"))
-        both = yes.unionByName(no).select(F.lit(level).cast("int").alias("level"), "key", "label")
+        n, lo, hi = own.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first() if least else (0, 0, 0)
+        if 0 < n < least:
+            yes = jittered(yes, -(-least // n) - 1, (hi - lo) / 1000, seed)
+        both = yes.withColumn("label", F.lit(1.0)).unionByName(no).select(F.lit(level).cast("int").alias("level"), "key", "label")
         out = both if out is None else out.unionByName(both)
     return out
 
@@ -116,16 +123,31 @@ def jittered(keys: DataFrame, copies: int, width: float, seed: int = 7) -> DataF
     return more.select(F.when(F.col("i") == 0, F.col("key")).otherwise(F.col("key") + (draw(seed, F.col("key"), F.col("i")) - 0.5) * 2 * width).alias("key"))
 
 
+#: Parts of the unit interval in which a class's drawn numbers are counted first.
+BINS = 1 << 14
+
+
 def balanced(rows: DataFrame, by: list[str], most: int, least: int = 0, seed: int = 7, identity: str = "key") -> DataFrame:
-    """At most `most` rows of each class, drawn by hash; small classes are repeated up to `least`."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("__u", draw(seed, F.col(identity))).withColumn("__r", F.row_number().over(w.orderBy("__u", identity))).withColumn("__n", F.count(F.lit(1)).over(w))
-    some = ranked.where(F.col("__r") <= most)
+    """At most `most` rows of each class, drawn by hash; small classes are repeated up to `least`.
+
+    Counts in bins of the drawn numbers tell up to which bin a class's `most` least ones
+    lie, so only those and the rest of one bin are ranked, however large the class is.
+    """
+    bin_ = F.floor(F.col("__u") * BINS).cast("int")
+    drawn = rows.withColumn("__u", draw(seed, F.col(identity)))
+    upto = Window.partitionBy(*by).orderBy("__b")
+    counts = drawn.groupBy(*by, bin_.alias("__b")).agg(F.count(F.lit(1)).alias("__c")).withColumn("__upto", F.sum("__c").over(upto))
+    # a class has as many rows as its last bin's sum says
+    cut = counts.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("__upto") >= most, F.col("__b"))), F.lit(BINS)).alias("__cut"), F.max("__upto").alias("__n"))
+    named = cut.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__cut", "__n")
+    same = [drawn[c].eqNullSafe(named[f"__by{i}"]) for i, c in enumerate(by)]
+    near = drawn.join(named, same).where(bin_ <= F.col("__cut"))
+    some = near.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__u", identity))).where(F.col("__r") <= most)
     if least:
         n = F.least("__n", F.lit(most))
         extra = F.when(n < least, F.floor(F.lit(least) / n) + (F.col("__r") <= F.lit(least) % n).cast("int")).otherwise(1)
-        some = some.withColumn("__copy", F.explode(F.sequence(F.lit(1), extra.cast("int")))).drop("__copy")
-    return some.drop("__u", "__r", "__n")
+        some = some.withColumn("__copy", F.explode(F.sequence(F.lit(1), extra.cast("int"))))
+    return some.select(*rows.columns)
 
 
 def retrain_due(events: int, every: int) -> bool:

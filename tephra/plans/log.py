@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tephra.plans.tables import written
+
 ENTRY_BYTES, KEY_BYTES, VALUE_BYTES = 116, 16, 100
 PAGE_BYTES = 4096
 PAGE_ROWS = PAGE_BYTES // ENTRY_BYTES
@@ -66,22 +68,21 @@ def live(log: DataFrame) -> DataFrame:
     return latest(log).where(~F.col("is_deleted")).select("key", "value")
 
 
-def numbered(df: DataFrame, order: str, name: str = "position", descending: bool = False, buckets: int = 1024) -> DataFrame:
-    """Global row numbers from 0 by a numeric column, without gathering rows in one task.
+def numbered(df: DataFrame, order: str, name: str = "position", descending: bool = False) -> DataFrame:
+    """Global row numbers from 0 by any column that has an order, without gathering rows in one task.
 
-    Rows are numbered inside equal-width buckets of the column and moved by the
-    number of rows in the buckets before; only the buckets' counts are ordered in
-    one place.
+    Rows are range-partitioned by sampled bounds of the column itself (so long keys stay
+    exact and skewed ones spread), numbered inside each range and moved by the rows of
+    the ranges before; only the ranges' counts are ordered in one place. The ranges are
+    a written table, since sampled bounds can differ from one run to the next. Rows of a
+    null `order` come first, or last if descending; the order of equal ones is open.
     """
-    sign = -1 if descending else 1
-    x = F.col(order).cast("double") * sign
-    bounds = df.agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    spread = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
-    placed = df.crossJoin(F.broadcast(bounds)).withColumn("__bucket", F.least(F.floor((x - F.col("__lo")) / spread * buckets), F.lit(buckets - 1)).cast("int")).drop("__lo", "__hi")
-    counts = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__bucket", F.coalesce(F.sum("__n").over(Window.partitionBy().orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inner = Window.partitionBy("__bucket").orderBy(x)
-    return placed.withColumn("__inner", F.row_number().over(inner) - 1).join(F.broadcast(before), "__bucket").withColumn(name, F.col("__before") + F.col("__inner")).drop("__bucket", "__inner", "__before")
+    by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_first()
+    placed = written(df.repartitionByRange(by).withColumn("__range", F.spark_partition_id()))
+    counts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.partitionBy().orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inner = Window.partitionBy("__range").orderBy(by)
+    return placed.withColumn("__inner", F.row_number().over(inner) - 1).join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__inner")).drop("__range", "__inner", "__before")
 
 
 def paged(log: DataFrame, rows: int = PAGE_ROWS) -> DataFrame:

@@ -143,7 +143,7 @@ def kv_fences(spark, d):
 @query("kv_page_lookup", f"SELECT key, page_id FROM ({_PAGES}) WHERE key % 7 = 0")
 def kv_page_lookup(spark, d):
     pages = L.paged(orders_log(spark, d))
-    return reads.page_of(orders_log(spark, d).where("key % 7 = 0"), pages, 35)
+    return reads.page_of(orders_log(spark, d).where("key % 7 = 0"), pages)
 
 
 @query("kv_page_range", f"SELECT key, value FROM ({_PAGES}) WHERE page_id = 3 AND key BETWEEN 0 AND 1000000")
@@ -261,23 +261,12 @@ _KEYS = "SELECT DISTINCT o_custkey::DOUBLE AS key FROM orders"
 
 
 @query("kv_negatives", f"""
-WITH k AS ({_KEYS}), b AS (SELECT min(key) AS lo, max(key) AS hi FROM k), c AS (SELECT k.key::BIGINT AS key, lo, hi, i FROM k, b, range(2) r(i)),
+WITH k AS ({_KEYS}), b AS (SELECT min(key) AS lo, max(key) AS hi FROM k), c AS (SELECT k.key, lo, hi, i FROM k, b, range(2) r(i)),
 m AS (SELECT *, {workloads.draw_sql(8, "key", "i")} AS kind, {workloads.draw_sql(9, "key", "i")} AS u FROM c WHERE {workloads.draw_sql(7, "key", "i")} < 0.5)
 SELECT DISTINCT round(x, 6) AS key FROM (SELECT CASE WHEN kind < 0.25 THEN lo - ((hi - lo) * 0.1 + 1e-9) * u WHEN kind < 0.5 THEN hi + ((hi - lo) * 0.1 + 1e-9) * u ELSE lo + (hi - lo) * u END AS x FROM m) WHERE x NOT IN (SELECT key FROM k)""")
 def kv_negatives(spark, d):
-    keys = table(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct()
-    # the draw sees integral keys as integers, so that both engines print them alike
-    return _integral_negatives(keys).select(F.round("key", 6).alias("key")).distinct()
-
-
-def _integral_negatives(keys: DataFrame) -> DataFrame:
-    bounds = keys.agg(F.min("key").cast("double").alias("lo"), F.max("key").cast("double").alias("hi"))
-    many = keys.crossJoin(F.broadcast(bounds)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(1))))
-    many = many.where(workloads.draw(7, F.col("key"), F.col("i")) < 0.5)
-    kind, u = workloads.draw(8, F.col("key"), F.col("i")), workloads.draw(9, F.col("key"), F.col("i"))
-    span = (F.col("hi") - F.col("lo")) * 0.1 + 1e-9
-    made = F.when(kind < 0.25, F.col("lo") - span * u).when(kind < 0.5, F.col("hi") + span * u).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * u)
-    return many.select(made.alias("key")).join(keys, "key", "left_anti")
+    keys = table(spark, d, "orders").select(F.col("o_custkey").alias("key"))
+    return workloads.negatives(keys).select(F.round("key", 6).alias("key")).distinct()
 
 
 @query("kv_balance", f"SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY {workloads.draw_sql(7, 'event_id')}, event_id) AS r FROM events) WHERE r <= 50")
@@ -286,7 +275,7 @@ def kv_balance(spark, d):
 
 
 @query("kv_features", """
-WITH p AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, quantile_cont(o_totalprice, 0.1) AS q10, quantile_cont(o_totalprice, 0.25) AS q25, quantile_cont(o_totalprice, 0.5) AS q50, quantile_cont(o_totalprice, 0.75) AS q75, quantile_cont(o_totalprice, 0.9) AS q90 FROM orders)
+WITH p AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, quantile_disc(o_totalprice, 0.1) AS q10, quantile_disc(o_totalprice, 0.25) AS q25, quantile_disc(o_totalprice, 0.5) AS q50, quantile_disc(o_totalprice, 0.75) AS q75, quantile_disc(o_totalprice, 0.9) AS q90 FROM orders)
 SELECT o_orderkey AS id, round((o_totalprice - lo) / (hi - lo), 6) AS place, round(ln(1 + o_totalprice), 6) AS log_key, round(ln(1 + abs(hi - o_totalprice)), 6) AS log_to_max,
 round((o_totalprice - q10) / (hi - lo), 6) AS from_q10, round((o_totalprice - q50) / (hi - lo), 6) AS from_q50, (o_totalprice >= q90)::DOUBLE AS above_q90, (o_totalprice >= q25 AND o_totalprice < q50)::DOUBLE AS q25_to_q50 FROM orders, p""")
 def kv_features(spark, d):
@@ -322,7 +311,7 @@ def kv_fnr_by_level(spark, d):
     return evaluation.error_rates(evaluation.compared(truth, lossy))
 
 
-@query("kv_latency_stats", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS stdev, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY event_type")
+@query("kv_latency_stats", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_disc(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS stdev, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY event_type")
 def kv_latency_stats(spark, d):
     out = evaluation.latency_stats(table(spark, d, "events"), "event_type", "value")
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev", "min", "max")])
@@ -357,35 +346,4 @@ def kv_normalize_value(spark, d):
     return table(spark, d, "documents").select("doc_id", values.normalize_value(F.col("text")).alias("value"))
 
 
-def _trained(spark, d):
-    from tephra.operators import learned
-
-    orders = table(spark, d, "orders").select((F.col("o_totalprice") / 7).alias("key"), "o_orderkey")
-    members, others = orders.where("o_orderkey % 2 = 0").select("key"), orders.where("o_orderkey % 2 = 1").select("key")
-    return learned, members, others
-
-
-@query("kv_ml_membership")
-def kv_ml_membership(spark, d):
-    """Scores and answers of the membership ensemble for every order's key."""
-    learned, members, others = _trained(spark, d)
-    far = others.select((F.col("key") + 1e6).alias("key"))
-    rows = members.withColumn("label", F.lit(1.0)).unionByName(far.withColumn("label", F.lit(0.0)))
-    model = learned.MembershipModel(trees=5).train(rows, mine_hard=False)
-    return model.predict(rows).select("key", "label", F.round("score", 6).alias("score"), "maybe")
-
-
-@query("kv_ml_filter")
-def kv_ml_filter(spark, d):
-    """The learned filter beside a classical one."""
-    learned, members, others = _trained(spark, d)
-    made = learned.LearnedFilter(epochs=20).train(members, others)
-    return learned.compare_filters(members, others, made)
-
-
-@query("kv_ml_pages")
-def kv_ml_pages(spark, d):
-    """Accuracy of the page predictor on the pages of orders."""
-    learned, _, _ = _trained(spark, d)
-    pages = L.paged(orders_log(spark, d)).select(F.col("key").cast("double").alias("key"), "page_id")
-    return evaluation.page_accuracy(learned.PagePredictor(trees=10).train(pages, hierarchical=False).predict(pages))
+from tephra import store_queries  # noqa: E402, F401  (registers the rest of the catalog)

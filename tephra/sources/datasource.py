@@ -7,13 +7,11 @@
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.dataset
-import pyarrow.parquet
+import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
@@ -25,7 +23,11 @@ class _Run(InputPartition):
 
 class LogReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path, self.low, self.high = path.removeprefix("file://"), None, None
+        self.path, self.low, self.high = path.rstrip("/"), None, None
+
+    def _fs(self, path: str) -> tuple[pa.fs.FileSystem, str]:
+        """Of a URI of any shared storage that pyarrow knows, or of a local path."""
+        return pa.fs.FileSystem.from_uri(path) if ":/" in path else (pa.fs.LocalFileSystem(), path)
 
     def pushFilters(self, filters) -> Iterable:
         """Bounds of the key are used to skip runs and row groups; Spark still applies every filter."""
@@ -41,12 +43,16 @@ class LogReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[_Run]:
-        versions = [p for p in glob.glob(f"{self.path}/manifest/version=*") if os.path.exists(f"{p}/_SUCCESS")]
+        fs, base = self._fs(self.path)
+        below = lambda sub: fs.get_file_info(pa.fs.FileSelector(f"{base}/{sub}", allow_not_found=True))
+        whole = lambda folder: fs.get_file_info(f"{folder}/_SUCCESS").type == pa.fs.FileType.File
+        versions = [f.path for f in below("manifest") if "version=" in f.path and whole(f.path)]
         if not versions:
             return []
-        rows = pa.dataset.dataset(max(versions, key=lambda p: int(p.rpartition("=")[2])), format="parquet").to_table().to_pylist()
+        newest = max(versions, key=lambda p: int(p.rpartition("=")[2]))
+        rows = pa.dataset.dataset(newest, format="parquet", filesystem=fs).to_table().to_pylist()
         rows = [r for r in rows if (self.low is None or r["max_key"] >= self.low) and (self.high is None or r["min_key"] <= self.high)]
-        return [_Run(f) for r in rows for f in sorted(glob.glob(f"{self.path}/runs/level={r['level']}/run_id={r['run_id']}/*.parquet"))]
+        return [_Run(f) for r in rows for f in sorted(x.path for x in below(f"runs/level={r['level']}/run_id={r['run_id']}") if x.path.endswith(".parquet"))]
 
     def read(self, partition: _Run) -> Iterator[pa.RecordBatch]:
         keep = None
@@ -56,7 +62,7 @@ class LogReader(DataSourceReader):
             below = pa.dataset.field("key") <= self.high
             keep = below if keep is None else keep & below
         level, run = (int(partition.value.split(f"{n}=")[1].split("/")[0]) for n in ("level", "run_id"))
-        for batch in pa.dataset.dataset(partition.value, format="parquet").to_batches(columns=["key", "value", "seq", "is_deleted"], filter=keep):
+        for batch in pa.dataset.dataset(partition.value, format="parquet", filesystem=self._fs(self.path)[0]).to_batches(columns=["key", "value", "seq", "is_deleted"], filter=keep):
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([level] * n, pa.int32()), pa.array([run] * n, pa.int64())], names=["key", "value", "seq", "is_deleted", "level", "run_id"])
 
@@ -67,7 +73,7 @@ class LogSource(DataSource):
         return "tephra"
 
     def schema(self) -> str:
-        return f"key {self.options.get('keytype', 'double')}, value string, seq long, is_deleted boolean, level int, run_id long"
+        return f"key {self.options.get('keytype', 'double')}, value {self.options.get('valuetype', 'string')}, seq long, is_deleted boolean, level int, run_id long"
 
     def reader(self, schema: StructType) -> LogReader:
         return LogReader(self.options["path"])

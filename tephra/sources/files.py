@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +36,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_records(pairs: list[tuple[float, str]], path: str) -> None:
-    """One record file; the inverse of read_records() for tests and exports of moderate size."""
-    with open(path, "wb") as out:
+    """One record file, at a local path or a URI; the inverse of read_records() for tests and exports of moderate size."""
+    fs, name = pa.fs.FileSystem.from_uri(path) if ":/" in path else (pa.fs.LocalFileSystem(), path)
+    with fs.open_output_stream(name) as out:
         for key, value in pairs:
             raw = value.encode()
             out.write(struct.pack(">d", key) + struct.pack("<I", len(raw)) + raw)

@@ -36,7 +36,8 @@ class KeyValueStore:
         self.buffer: dict = {}
         self.version, self.runs = self._newest()
         self.seq = max([r["max_seq"] for r in self.runs], default=0)
-        self.flushes = 0
+        self.flushes = self.writes = 0
+        self.listeners: list = []  # called with the store after each flush, batch and compaction
 
     # files
 
@@ -104,17 +105,34 @@ class KeyValueStore:
         self.flush_if_necessary()
 
     def put_all(self, rows: DataFrame, order: str | None = None) -> None:
-        """A batch (key, value and perhaps is_deleted) as one run; `order` says which row of a key is newest."""
+        """A batch (key, value and perhaps is_deleted) as one run.
+
+        With `order` (integers, or timestamps as microseconds), it is the rows' seq: the
+        greatest wins, in the batch and against all that the store holds, so a batch that is
+        written again changes nothing and one that comes late overwrites nothing newer.
+        put() and remove() go on after the greatest seq. Without `order` the batch is newer
+        than all before, and a key that occurs twice in it is an error. Rows of a null or
+        NaN key are left out; those of a null `order` are an error.
+        """
         self.flush()
         rows = rows if "is_deleted" in rows.columns else rows.withColumn("is_deleted", F.lit(False))
         key = F.col("key").cast(self.key_type)
-        rows = rows.withColumn("key", F.when(key == 0, F.lit(0).cast(self.key_type)).otherwise(key)).where(F.col("key").isNotNull())
+        seq = F.lit(self.seq + 1) if order is None else F.unix_micros(F.col(order).cast("timestamp")) if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order)
+        value = F.col("value").cast(self.schema["value"].dataType)
+        rows = rows.select(F.when(key == 0, F.lit(0).cast(self.key_type)).otherwise(key).alias("key"), value.alias("value"), seq.cast("long").alias("seq"), F.coalesce(F.col("is_deleted").cast("boolean"), F.lit(False)).alias("is_deleted")).where(F.col("key").isNotNull())
         if self.key_type == "double":
             rows = rows.where(~F.isnan("key"))
-        newest = F.max_by(F.struct("value", "is_deleted"), order) if order else F.last(F.struct("value", "is_deleted"))
-        self.seq += 1  # one sequence number for the batch: each key is in it once
-        one = rows.groupBy("key").agg(newest.alias("v")).select("key", F.col("v.value").cast(self.schema["value"].dataType).alias("value"), F.lit(self.seq).cast("long").alias("seq"), F.col("v.is_deleted").alias("is_deleted"))
-        self._add(one)
+        if order is None:
+            if not rows.groupBy("key").count().where("count > 1").isEmpty():
+                raise ValueError("a key occurs twice in the batch, and no column orders its rows")
+            self.seq += 1
+        else:
+            wrong, last = rows.agg(F.count(F.when(F.col("seq").isNull(), 1)), F.max("seq")).first()
+            if wrong:
+                raise ValueError(f"{wrong} rows have no {order}")
+            self.seq = max(self.seq, last or 0)
+            rows = latest(rows).select("key", "value", "seq", "is_deleted")
+        self._add(rows)
 
     def flush_if_necessary(self) -> bool:
         return len(self.buffer) >= self.buffer_rows and self.flush()
@@ -135,12 +153,18 @@ class KeyValueStore:
         if made:
             self._commit([*self.runs, made])
             self.flushes += 1
+            self._written()
         if self.auto_compact:
             level = 0
             while level < LEVELS - 1 and self._full(level):
                 self.compact(level)
                 level += 1
 
+    def _written(self) -> None:
+        self.writes += 1
+        for listener in self.listeners:
+            listener(self)
+
     def _full(self, level: int) -> bool:
         own = [r for r in self.runs if r["level"] == level]
         if level == 0:
@@ -160,6 +184,12 @@ class KeyValueStore:
             merged = merged.where(~F.col("is_deleted"))
         made = self._write_run(merged, level + 1, self._next_run())
         self._commit([*rest, *([made] if made else [])])
+        self._written()
+
+    def clear(self) -> None:
+        """Empties the table: a new version without runs. Readers of older versions keep theirs until vacuum()."""
+        self.buffer = {}
+        self._commit([])
 
     def vacuum(self) -> int:
         """Deletes folders that the newest version doesn't name."""
@@ -198,6 +228,22 @@ class KeyValueStore:
         row = reads.get(self.log(key, key), key).first()
         return row["value"] if row else None
 
+    def stored(self) -> DataFrame:
+        """The flushed writes with level and run_id."""
+        return self._read(self.runs)
+
+    def get_from_run(self, key, run_id: int):
+        """(value, is_deleted) of a key in one run, None if the run lacks it."""
+        key = self._canonical(key)
+        row = reads.get_from_run(self._read([r for r in self.runs if r["run_id"] == run_id and r["min_key"] <= key <= r["max_key"]]), run_id, key).first()
+        return (row["value"], row["is_deleted"]) if row else None
+
+    def range_from_run(self, low, high, run_id: int) -> DataFrame:
+        return reads.range_from_run(self._read([r for r in self.runs if r["run_id"] == run_id]), run_id, low, high)
+
+    def range_from_level(self, low, high, level: int) -> DataFrame:
+        return reads.range_from_level(self.log(low, high, level), level, low, high)
+
     def range(self, low, high) -> DataFrame:
         return reads.range_scan(self.log(low, high), low, high)
 

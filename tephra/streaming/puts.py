@@ -10,10 +10,11 @@ from tephra.sources.store import KeyValueStore
 
 
 def put_stream(rows: DataFrame, store: KeyValueStore, checkpoint: str, order: str = "seq", **trigger) -> StreamingQuery:
-    """Writes (key, value, `order` and perhaps is_deleted) as they come; the greatest `order` of a key in a batch wins.
+    """Writes (key, value, `order` and perhaps is_deleted) as they come; the greatest `order` of a key wins, in whatever
+    batch it comes.
 
-    A batch that is run again after a failure writes the same versions again, which
-    leaves every answer as it was.
+    `order` becomes the rows' seq, so a batch that is run again after a failure, even
+    after other writes, and rows that come late leave newer versions as they are.
     """
 
     def write(batch: DataFrame, _: int) -> None:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tephra.functions import bloom, features, values
-from tephra.operators import evaluation, learned, reads, stats
+from tephra.operators import evaluation, learned, pruning, reads, stats
 from tephra.plans import log as L
 
 
@@ -55,12 +55,50 @@ def test_thresholds(spark):
 
 def test_pages(spark):
     pages = L.paged(spark.range(200).selectExpr("id * 2 AS key", "'v' AS value", "id AS seq", "false AS is_deleted"))
-    found = reads.page_of(spark.range(400).select(F.col("id").alias("key")), pages, 30)
+    found = reads.page_of(spark.range(400).select(F.col("id").alias("key")), pages)
     assert {r["key"]: r["page_id"] for r in found.where("key % 2 = 0").collect()} == {2 * i: i // 35 for i in range(200)}
     assert reads.get_from_page(pages, 1, 70).count() == 1 and reads.get_from_page(pages, 0, 70).count() == 0
     assert [r["key"] for r in reads.range_from_page(pages, 0, 3, 9).collect()] == [4, 6, 8]
 
 
+def test_pages_of_sparse_and_long_keys(spark):
+    keys = [0, 1, 2, 2**40, 2**40 + 1, 2**60, 2**60 + 1, 2**60 + 2, 2**60 + 3, 2**62, -(2**61), -5]
+    log = spark.createDataFrame([(k, "v", 1, False) for k in keys], "key long, value string, seq long, is_deleted boolean")
+    pages = L.paged(log, 2)
+    expected = {k: i // 2 for i, k in enumerate(sorted(keys))}
+    assert {r["key"]: r["page_id"] for r in pages.collect()} == expected
+    found = reads.page_of(log.select("key"), pages).collect()
+    assert {r["key"]: r["page_id"] for r in found} == expected and len(found) == len(keys)
+    assert reads.page_of(log.select("key"), pages.limit(0)).count() == 0
+
+
+def test_large_filters_are_probed_by_a_join(spark):
+    keys = spark.range(300).select(F.col("id").alias("key"))
+    m, k = bloom.size_of(30, 0.05)
+    bits = bloom.build(keys.where("key % 10 = 0"), m, k)
+    as_array, as_join = (dict(bloom.probe(keys, bits, m, k, most).collect()) for most in (bloom.ARRAY_BITS, 0))
+    assert as_array == as_join and all(as_array[i] for i in range(0, 300, 10)) and not all(as_array.values())
+
+
+def test_pruned_reads(spark):
+    log = spark.createDataFrame([(float(k), f"v{k}", s, k % 7 == 0, lev, r) for s, (k, lev, r) in enumerate([(k, lev, 10 * lev + k % 3) for lev in (2, 1, 0) for k in range(lev * 5, 90, lev + 2)])], "key double, value string, seq long, is_deleted boolean, level int, run_id long")
+    keys = spark.range(-5, 120).select((F.col("id") / 1.0).alias("key"))
+    runs, bits = pruning.run_filters(log)
+    checks = pruning.checked(keys, runs, bits).cache()
+    exact = {tuple(r) for r in reads.multi_get(log, keys).collect()}
+    assert {tuple(r) for r in pruning.pruned_get(log, keys, checks).collect()} == exact
+    counted = {r["level"]: r for r in pruning.read_counters(log, checks).collect()}
+    assert all(r["n_missed"] == 0 and r["n_checks"] == r["by_bounds"] + r["by_filter"] + r["n_reads"] for r in counted.values())
+    assert counted[1]["by_filter"] > 0 and counted[0]["by_filter"] == 0
+    by_run = pruning.read_counters(log, checks, ("level", "run_id"))
+    assert by_run.agg(F.sum("n_reads")).first()[0] == sum(r["n_reads"] for r in counted.values())
+    filters = {n: learned.LearnedFilter(epochs=3).train(log.where(F.col("level") == n).select("key")) for n in (1, 2)}
+    both = pruning.with_learned(checks, filters, {1: pruning.model_threshold(0.5, 1), 2: 0.01})
+    assert {tuple(r) for r in pruning.pruned_get(log, keys, both).collect()} == exact
+    assert pruning.read_counters(log, both).where("n_missed > 0").count() == 0
+    assert pruning.model_threshold(0.12, 1) == 0.1 and pruning.prefilter_threshold(9) == 0.5
+
+
 def test_stats(spark):
     empty = spark.createDataFrame([], "key long, value string, seq long, is_deleted boolean, level int, run_id long")
     assert stats.level_state(empty).where("NOT is_empty").count() == 0 and stats.run_stats(empty).count() == 0
@@ -96,6 +134,38 @@ def test_learned(spark):
     assert score(150.0) == pytest.approx(0.9) and score(1e9) == pytest.approx(0.05)
 
 
+def test_membership_with_hard_negatives_and_files(spark, tmp_path):
+    members = spark.range(600).select((F.col("id") * 2).cast("double").alias("key"), F.lit(1.0).alias("label"))
+    others = spark.range(600).select((F.col("id") * 2 + 900).cast("double").alias("key"), F.lit(0.0).alias("label"))
+    rows = members.unionByName(others)
+    model = learned.MembershipModel(trees=2, depth=3).train(rows)
+    assert model.hard > 0  # half of the others lie among the members
+    model.save(spark, f"file://{tmp_path}/m")
+    again = learned.MembershipModel.load(spark, f"file://{tmp_path}/m")
+    assert again.threshold == model.threshold and again.predict(rows).exceptAll(model.predict(rows)).isEmpty()
+    one = learned.MembershipModel(trees=2, depth=3, folds=2).train(rows, mine_hard=False)
+    assert len(one.models) == 1 and one.predict(rows).where("label = 1 AND NOT maybe").count() < 60
+
+
+def test_filters_by_level(spark, tmp_path):
+    log = spark.range(500).selectExpr("cast(id * 3 AS double) AS key", "concat('v', id) AS value", "id AS seq", "id % 11 = 0 AS is_deleted", "cast(id % 3 AS int) AS level", "cast(id % 3 AS long) AS run_id")
+    keys = spark.range(1600).select(F.col("id").cast("double").alias("key"))
+    made = learned.LevelFilters().train(log, {1: 0.9}, epochs=4)
+    exact = {tuple(r) for r in reads.multi_get(log, keys).collect()}
+    assert set(made.filters) == {1, 2} and made.filters[1].threshold == 0.9
+    assert {tuple(r) for r in made.get(log, keys).collect()} == exact
+    made.save(spark, f"file://{tmp_path}/f")
+    again = learned.LevelFilters.load(spark, f"file://{tmp_path}/f")
+    assert {tuple(r) for r in again.get(log, keys).collect()} == exact and again.stats(spark).count() == 2
+    one = made.filters[2]
+    new = spark.range(300).select((F.col("id") * 50 + 90_000).cast("double").alias("key"))
+    assert one.add(new).probe(new).where("NOT maybe").count() == 0
+    assert one.probe(log.where("level = 2").select("key")).where("NOT maybe").count() == 0
+    grades = {r["key"]: r["grade"] for r in one.graded(keys.union(spark.createDataFrame([(1e7,)], "key double"))).collect()}
+    assert grades[1e7] == 0.1 and grades[one.examples[0]] == 1.0 and all(0 <= g <= 1 for g in grades.values())
+    assert learned.LearnedFilter().graded(keys).where("grade <> 0.5").count() == 0
+
+
 def test_page_predictor(spark):
     pages = L.paged(spark.range(300).selectExpr("id AS key", "'v' AS value", "id AS seq", "false AS is_deleted")).select(F.col("key").cast("double").alias("key"), "page_id")
     made = learned.PagePredictor(trees=5).train(pages)
@@ -103,6 +173,41 @@ def test_page_predictor(spark):
     assert learned.PagePredictor().predict(pages).where("guess <> 0").count() == 0
 
 
+def test_two_stages_of_pages(spark, tmp_path):
+    rows = spark.range(9000).selectExpr("cast(pow(id, 1.4) AS double) AS key", "'v' AS value", "id AS seq", "false AS is_deleted")
+    pages = L.paged(rows).select("key", "page_id").cache()
+    made = learned.PagePredictor(trees=5, depth=4).train(pages)
+    assert not made.classes and made.pages == 258 and made.fine.count() > 10
+    fine = evaluation.page_accuracy(made.predict(pages)).first()
+    coarse = evaluation.page_accuracy(made._coarse(pages)).first()
+    assert fine["within_one"] > max(0.9, coarse["within_one"])
+    made.save(spark, f"file://{tmp_path}/p")
+    again = learned.PagePredictor.load(spark, f"file://{tmp_path}/p")
+    assert again.predict(pages).exceptAll(made.predict(pages)).isEmpty()
+    exact = learned.predicted_page(again, pages.select("key"), pages).cache()
+    assert exact.select("key", "page_id").exceptAll(pages).isEmpty() and exact.count() == 9000
+    assert exact.where("guessed").count() > 2000
+
+
+def test_samples_gathered_while_writing(spark, tmp_path):
+    from tephra.sources.store import KeyValueStore
+
+    store = KeyValueStore(spark, f"file://{tmp_path}/kv", auto_compact=False)
+    training = learned.OnlineTraining(spark, f"file://{tmp_path}/samples", every=2, most=200, trees=2, depth=2)
+    store.listeners.append(training.after)
+    for lo in (0, 100, 200):
+        store.put_all(spark.range(lo, lo + 100).select(F.col("id").alias("key"), F.lit("v").alias("value")))
+    store.compact(0)
+    assert store.writes == 4 and training.trained == 2 and set(training.models.membership) == {0, 1}
+    assert training.samples().where("label = 1").count() >= 300
+    found, checked = training.models.checked_get(store.log(), spark.range(300).select(F.col("id").cast("double").alias("key")), every=2)
+    counted = checked.first()
+    assert found.count() == 300 and 100 < counted["checked"] < 200 and counted["missed"] <= counted["checked"] * 0.1
+    assert training.models.timing(training.samples()).where("n > 0 AND micros_per_key > 0").count() == 2
+    training.models.save(spark, f"file://{tmp_path}/models")
+    assert set(learned.LevelModels.load(spark, f"file://{tmp_path}/models").membership) == {0, 1}
+
+
 def test_models_by_level(spark):
     from tephra.operators import workloads
 

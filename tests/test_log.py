@@ -114,6 +114,14 @@ def test_numbering_matches_sorting(spark):
     assert {r["x"]: r["position"] for r in down} == {v: i for i, v in enumerate(sorted(values, reverse=True))}
 
 
+def test_numbering_of_long_skewed_and_null_values(spark):
+    values = [2**60 + 3, 2**60 + 1, 2**60 + 2, 2**60, None, 5, 5, -(2**62), 2**62, *range(300)]
+    got = sorted(L.numbered(spark.createDataFrame([(v,) for v in values], "x long"), "x").collect(), key=lambda r: r["position"])
+    assert [r["x"] for r in got] == sorted(values, key=lambda v: (v is not None, v or 0)) and [r["position"] for r in got] == list(range(len(values)))
+    down = sorted(L.numbered(spark.createDataFrame([(v,) for v in values], "x long"), "x", descending=True).collect(), key=lambda r: r["position"])
+    assert [r["x"] for r in down] == sorted(values, key=lambda v: (v is not None, v or 0), reverse=True)
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     spark.range(1000).selectExpr("id AS key", "'v' AS value", "id AS seq", "false AS is_deleted").write.parquet(f"{tmp_path}/log")
     plan = reads.get(spark.read.parquet(f"{tmp_path}/log"), 5)._jdf.queryExecution().toString()
@@ -164,6 +172,30 @@ def test_streams(spark, tmp_path):
     assert rows(s.range(0, 9)) == {1.0: "b", 2.0: "c"}
 
 
+def test_batches_replayed_and_late(spark, tmp_path):
+    s = store(spark, tmp_path)
+    batch = spark.createDataFrame([(1.0, "old", 5), (2.0, "x", 6)], "key double, value string, at long")
+    s.put_all(batch, "at")
+    s.put(1.0, "new")
+    s.put_all(batch, "at")  # again, after a failure
+    assert rows(s.range(0, 9)) == {1.0: "new", 2.0: "x"}
+    s.put_all(spark.createDataFrame([(2.0, "late", 3), (3.0, "y", 4)], "key double, value string, at long"), "at")
+    assert rows(s.range(0, 9)) == {1.0: "new", 2.0: "x", 3.0: "y"}
+    twice = spark.createDataFrame([(7.0, "a"), (7.0, "b")], "key double, value string")
+    with pytest.raises(ValueError):
+        s.put_all(twice)
+    with pytest.raises(ValueError):
+        s.put_all(spark.createDataFrame([(7.0, "a", None)], "key double, value string, at long"), "at")
+    s.put_all(spark.createDataFrame([(8.0, "t")], "key double, value string").withColumn("at", F.lit("2024-01-01").cast("timestamp")), "at")
+    assert s.get(8) == "t" and s.get(7) is None
+    one = next(r["run_id"] for r in s.runs if r["min_key"] == 1.0)
+    assert s.get_from_run(1, one) == ("old", False) and s.get_from_run(99, one) is None
+    assert [r["key"] for r in s.range_from_run(0, 1.5, one).collect()] == [1.0]
+    assert rows(s.range_from_level(2, 3, 0)) == {2.0: "x", 3.0: "y"}
+    s.clear()
+    assert s.range(-9, 99).count() == 0 and s.get(8) is None and store(spark, tmp_path).runs == []
+
+
 def test_training_sets(spark):
     log = spark.range(300).selectExpr("cast(id AS double) / 3 AS key", "'v' AS value", "id AS seq", "false AS is_deleted", "cast(id % 2 AS int) AS level", "cast(id % 4 AS long) AS run_id")
     have = {r[0] for r in log.select("key").collect()}
@@ -172,6 +204,8 @@ def test_training_sets(spark):
     both = workloads.membership_set(log, 50)
     assert both.where("label = 1").count() == 100 and both.where("label = 0").count() > 0
     assert workloads.jittered(log, 3, 0.01).count() == 1200
+    more = workloads.membership_set(log, 50, least=400).where("label = 1").groupBy("level").count().collect()
+    assert all(r["count"] >= 100 for r in more)
     few = workloads.balanced(log, ["level"], 20, least=50)
     assert {r["level"]: r["count"] for r in few.groupBy("level").count().collect()} == {0: 50, 1: 50}
     assert not workloads.retrain_due(0, 4) and workloads.retrain_due(8, 4)
