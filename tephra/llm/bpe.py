@@ -22,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tephra.llm import words as W
-from tephra.llm.frames import documents, with_fields
+from tephra.llm.frames import documents, mapped, with_fields
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Entries of one generation of a worker's caches, two of which are kept, and the characters
 #: that an entry may have: some tens of MB in all. Longer pieces are encoded each time.
 #: Results don't depend on either.
-CACHE = 300_000
-CACHED = 1 << 30
+CACHE = 1 << 17
+CACHED = 48
 #: Characters of text whose new words are encoded ahead together (one row at least).
-AHEAD = 2_000_000
+AHEAD = 1_000_000
 
 
 #: Numbers that aren't decimal digits: `re` takes them for letters.
@@ -236,6 +236,7 @@ class Encoder:
         for cache in (self._segment, self._piece):
             cache.clear()
             cache.old = {}
+        self.vocabulary._pair.clear()
 
     def packed(self, text: str) -> bytes:
         head, *rest = _CUT.split(text) if _UNCUT.search(text) else text.split(" ")
@@ -356,7 +357,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 )
         enc.forget()
 
-    return docs.mapInArrow(run, with_fields(docs, "tokens array<int>, n_tokens int, exact boolean"))
+    return docs.transform(mapped, run, with_fields(docs, "tokens array<int>, n_tokens int, exact boolean"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tephra.plans.tables import written  # noqa: F401  (the operators' too)
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tephra-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session doesn't say: buffers of it are held outside the heap.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_libc = ctypes.CDLL(None)
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder: cuts lineage, survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tephra-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow() over narrow batches, after which the worker gives memory that it has freed back to the system.
+
+    Workers outlive their tasks, so what they keep is missing elsewhere.
+    """
+    if df.sparkSession.conf.get(_BATCH_BYTES, None) is None:
+        df.sparkSession.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def uniform(seed: int, *cols: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tephra.llm import words as W
-from tephra.llm.frames import documents, uniform, with_fields
+from tephra.llm.frames import documents, mapped, uniform, with_fields
 
 #: Bound of the labelled sample: texts of each language.
 SAMPLE = 150
@@ -334,7 +334,7 @@ def identify(docs: DataFrame, share: float = SHARE, per_language: int = SAMPLE)
                 new = list(zip(*describe(known, share, texts))) if len(texts) else [[]] * 6
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip(new, kinds))], names=[*batch.schema.names, *(f.name for f in out.fields[-6:])])
 
-    return docs.mapInArrow(run, out)
+    return docs.transform(mapped, run, out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

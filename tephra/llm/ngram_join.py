@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tephra.llm import words as W
-from tephra.llm.frames import broadcast_if_small, documents, parts, unused, written
+from tephra.llm.frames import broadcast_if_small, documents, mapped, parts, unused, written
 
 N = 3
 THRESHOLD = 0.6
@@ -36,7 +36,7 @@ SIGNATURE = 16
 FULL = 15
 LEAF = 32
 #: Documents of one signature n-gram that are searched together; with more, pieces of as many are searched two by two.
-HEAVY = 2048
+HEAVY = 8192
 #: Members of a class that are paired at once with as many of another.
 PIECE = 512
 
@@ -227,7 +227,7 @@ def _found(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFr
                 names=["doc_id", "sum1", "sum2", "size", "signature", "vector"],
             )
 
-    described = written(docs.mapInArrow(describe, "doc_id long, sum1 long, sum2 long, size long, signature binary, vector binary"))
+    described = written(docs.transform(mapped, describe, "doc_id long, sum1 long, sum2 long, size long, signature binary, vector binary"))
     classes = written(described.groupBy("sum1", "sum2", "size").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("vector").alias("vector")))
 
     def explode(batches):
@@ -236,7 +236,7 @@ def _found(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFr
             row, place = np.nonzero(keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys[row, place]), W.column(batch, "doc_id").take(pa.array(row))], names=["key", "doc_id"])
 
-    postings = classes.select("doc_id", "signature").mapInArrow(explode, "key long, doc_id long")
+    postings = classes.select("doc_id", "signature").transform(mapped, explode, "key long, doc_id long")
     several = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     split = F.ceil(F.col("c") / HEAVY).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
@@ -253,7 +253,7 @@ def _found(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFr
                 at = np.flatnonzero(found)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(np.full(len(at), one, np.int32)), pa.array(np.full(len(at), two, np.int32)), piece.take(pa.array(at)).combine_chunks(), ids.take(pa.array(at)).combine_chunks()], names=[*_GROUP, "piece", "doc_id"])
 
-    wanted = several.join(classes.select("doc_id", "size", "signature", "vector"), "doc_id").repartition(width, *_GROUP).mapInArrow(search, "key long, one int, two int, piece int, doc_id long")
+    wanted = several.join(classes.select("doc_id", "size", "signature", "vector"), "doc_id").repartition(width, *_GROUP).transform(mapped, search, "key long, one int, two int, piece int, doc_id long")
     wanted = written(wanted.distinct())
 
     def verify(batches):
@@ -289,7 +289,7 @@ def _found(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(value), *(pa.array(x) for x in (*of_a.T, *of_b.T))], names=["doc_id_a", "doc_id_b", "jaccard", "a1", "a2", "a3", "b1", "b2", "b3"])
 
     near = docs.join(broadcast_if_small(wanted), "doc_id").repartition(width, *_GROUP).select(*_GROUP, "piece", "doc_id", "text")
-    near = near.mapInArrow(verify, "doc_id_a long, doc_id_b long, jaccard double, a1 long, a2 long, a3 long, b1 long, b2 long, b3 long")
+    near = near.transform(mapped, verify, "doc_id_a long, doc_id_b long, jaccard double, a1 long, a2 long, a3 long, b1 long, b2 long, b3 long")
     near = near.select("doc_id_a", "doc_id_b", "jaccard", *(F.struct(F.col(x + "1").alias("sum1"), F.col(x + "2").alias("sum2"), F.col(x + "3").cast("long").alias("size")).alias(x) for x in "ab"))
     return described, classes, near
 
@@ -380,7 +380,7 @@ def components(edges: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> Da
         ids = [x for x in parent if find(x) != x]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["u", "v"])
 
-    now = written(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(contract, "u long, v long"))
+    now = written(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").transform(mapped, contract, "u long, v long"))
     before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tephra.llm import words as W
-from tephra.llm.frames import parts, unused
+from tephra.llm.frames import mapped, parts, unused
 
 WORDS = 50
 ROWS = "key long, rid long, doc_id long, at int, times int, left int, size int, body binary"
@@ -132,8 +132,8 @@ def gathered(docs: DataFrame, words: int) -> DataFrame:
         many = np.repeat(size > 1, size)
         yield pa.RecordBatch.from_arrays([pa.array(rid[many]), pa.array(at[many]), pa.array(np.repeat(differs, size)[many])], names=["rid", "at", "opens"])
 
-    found = rows.mapInArrow(find, "key long, rid long, at int, before long")
-    marks = found.repartition(parts(docs), "key").mapInArrow(several, "rid long, at int, opens boolean")
+    found = rows.transform(mapped, find, "key long, rid long, at int, before long")
+    marks = found.repartition(parts(docs), "key").transform(mapped, several, "rid long, at int, opens boolean")
     marks = marks.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "opens"))).alias("marks")).select("rid", F.col("marks.at").alias("at"), F.col("marks.opens").alias("opens"))
 
     def cut(batches):
@@ -174,7 +174,7 @@ def gathered(docs: DataFrame, words: int) -> DataFrame:
                 )
 
     kept = rows.join(marks, "rid").select("rid", "doc_id", "text", "at", "opens")
-    return kept.mapInArrow(cut, ROWS)
+    return kept.transform(mapped, cut, ROWS)
 
 
 class Suffix:
@@ -323,7 +323,7 @@ def found(docs: DataFrame, words: int, work: Callable[[Iterator[tuple[list[Suffi
     def run(batches):
         yield from work(Partition(batches, words, memory).groups())
 
-    return gathered(docs, words).repartition(parts(docs), "key").mapInArrow(run, schema)
+    return gathered(docs, words).repartition(parts(docs), "key").transform(mapped, run, schema)
 
 
 def repeat_id(s: Suffix, o: int, length: int) -> int:
@@ -389,7 +389,7 @@ def removed(docs: DataFrame, cuts: DataFrame) -> DataFrame:
             arrays = [pa.array(new, texts.type) if n == "text" else batch.column(k) for k, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(stays))
 
-    out = joined.mapInArrow(run, docs.schema)
+    out = joined.transform(mapped, run, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

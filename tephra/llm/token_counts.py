@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tephra.llm import words as W
 from tephra.llm.bpe import AHEAD, VOCABULARY, encoder
-from tephra.llm.frames import documents
+from tephra.llm.frames import documents, mapped
 
 
 def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -32,7 +32,7 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         enc.forget()
         yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.int64()), pa.array([*counts.values()], pa.int64())], names=["n_tokens", "n_docs"])
 
-    return docs.select("text").mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select("text").transform(mapped, run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:

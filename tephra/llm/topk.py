@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tephra.llm import words as W
-from tephra.llm.frames import parts, written
+from tephra.llm.frames import mapped, parts, written
 
 K = 10
 BLOCK = 1024
@@ -36,7 +36,7 @@ def _gram(rows: DataFrame, d: int) -> np.ndarray:
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d)), pa.array(total.ravel())], names=["cell", "value"])
 
-    cells = rows.select("embedding").mapInArrow(part, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    cells = rows.select("embedding").transform(mapped, part, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
     out = np.zeros(d * d)
     for c, v in cells:
         out[c] = v
@@ -178,7 +178,7 @@ def _products(rows: DataFrame, d: int, k: int, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([norm[at[0]] * (1 + 1e-12)]), pa.array([ids[at].tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())], names=["norm", "ids", "matrix"])
 
     length = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
-    laid = rows.withColumn("__n", length).repartitionByRange(width, F.col("__n").desc(), F.xxhash64("vec_id")).mapInArrow(lay, "norm double, ids binary, matrix binary")
+    laid = rows.withColumn("__n", length).repartitionByRange(width, F.col("__n").desc(), F.xxhash64("vec_id")).transform(mapped, lay, "norm double, ids binary, matrix binary")
     index = written(laid)
     path = index.inputFiles()[0].rsplit("/", 1)[0] if index.inputFiles() else ""
 
@@ -190,7 +190,7 @@ def _products(rows: DataFrame, d: int, k: int, width: int) -> DataFrame:
                 row, rank = np.nonzero(np.isfinite(best.score))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best.id[row, rank]), pa.array(best.score[row, rank])], names=["vec_id", "neighbor_id", "product"])
 
-    return index.repartition(width).mapInArrow(ask, "vec_id long, neighbor_id long, product double")
+    return index.repartition(width).transform(mapped, ask, "vec_id long, neighbor_id long, product double")
 
 
 def top_k_sql(table: str = "embeddings", k: int = K) -> str:
