@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over `documents`, each written and read again.
 
-All but the last stage return the columns of documents. Null texts and empty texts
-go in the first stage (no language); extra columns are passed through.
+All but the last stage return the columns of documents; extra columns are passed
+through. Null texts and empty texts go in the first stage (no language), unless no
+row at all has a language: then there is no model, and the first stage keeps every
+row. A null text then stays null to the end and has no tokens.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tephra.llm import bpe, langid, mixing, ngram_join, suffix_array
-from tephra.llm.frames import documents, written
+from tephra.llm.frames import documents
+from tephra.plans.tables import delete, new_folder, scope, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages; of the tables between them, and of those inside a stage, only what the result reads is left."""
+    docs, path = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, path = path, new_folder(spark)
+        with scope(spark):
+            docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            delete(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
