@@ -210,3 +210,29 @@ def test_training_sets(spark):
     assert {r["level"]: r["count"] for r in few.groupBy("level").count().collect()} == {0: 50, 1: 50}
     assert not workloads.retrain_due(0, 4) and workloads.retrain_due(8, 4)
     assert workloads.page_set(L.paged(log)).columns == ["level", "key", "page_id"]
+
+
+def test_console(spark, tmp_path):
+    import io
+
+    from tephra.shell import Console
+
+    out = io.StringIO()
+    console = Console(store(spark, tmp_path), stdout=out)
+    say = lambda line: (out.truncate(0), out.seek(0), console.onecmd(line), out.getvalue().strip())[-2:]
+    for k in range(30):
+        say(f"put {k} 'value {k}'")
+    say("remove 4")
+    assert say("flush")[1] == "flushed" and say("flush")[1] == "nothing to flush"
+    assert say("get 3")[1] == "value 3" and say("get 4")[1] == "absent"
+    assert say("range 3 5")[1].splitlines() == ["3\tvalue 3", "5\tvalue 5"]
+    say("compact 0")
+    say("switch learned")
+    assert say("get 7")[1] == "value 7" and say("get 99")[1] == "absent"
+    say("switch skipping")
+    assert say("get 7")[1] in ("value 7", "absent")
+    assert "one of" in say("switch other")[1] and "could not convert" in say("get x")[1]
+    assert "level 1: 1 runs, 29 entries" in say("stats")[1] and "put: 30 times" in say("stats")[1]
+    say("reset")
+    say("switch exact")
+    assert say("get 7")[1] == "absent" and say("exit")[0] is True
