@@ -155,6 +155,7 @@ class LearnedFilter:
     most: int = 100_000
     threshold: float = 0.5
     profile: dict = field(default_factory=dict)
+    key_type: str = "double"  # of the members, which the backup's hashes depend on
     examples: list[float] = field(default_factory=list)
     model: PipelineModel | None = None
     backup: DataFrame | None = None
@@ -165,6 +166,7 @@ class LearnedFilter:
         """The threshold has the best F1 on held-out rows, unless it is given; then every member is scored and the rejected
         ones go to the backup. Without `others`, keys that aren't members are made up in and about their range."""
         members = members.select("key").distinct()
+        self.key_type = dict(members.dtypes)["key"]
         others = negatives(members, seed=self.seed) if others is None else others
         self.profile = features.key_profile(members)
         if self.profile["lo"] is None:  # no members: untrained, it admits everything
@@ -194,7 +196,7 @@ class LearnedFilter:
 
     def add(self, members: DataFrame) -> "LearnedFilter":
         """Takes new members in: those that the model rejects go to the backup, which keeps its size; the range widens."""
-        members = members.select("key").distinct()
+        members = members.select(F.col("key").cast(self.key_type).alias("key")).distinct()
         if self.model is None:
             return self
         missed = self.rejected(members)
@@ -213,11 +215,16 @@ class LearnedFilter:
         scored = self.score(keys.select("key").distinct())
         if self.model is None:
             return scored.withColumn("maybe", F.lit(True))
+        scored = scored.withColumn("__own", F.col("key").try_cast(self.key_type))
         sure = F.col("score") >= (self.threshold if threshold is None else min(threshold, self.threshold))
         if self.backup is None:
-            return scored.withColumn("maybe", sure)
-        second = bloom.probe(scored.where(~sure), self.backup, self.m, self.k).withColumnRenamed("maybe", "__backup")
-        return scored.join(second, "key", "left").select("key", "score", (sure | F.coalesce("__backup", F.lit(False))).alias("maybe"))
+            return scored.select("key", "score", sure.alias("maybe"))
+        second = self._backed(scored.where(~sure))
+        return scored.join(second, "__own", "left").select("key", "score", (sure | F.coalesce("__backup", F.lit(False))).alias("maybe"))
+
+    def _backed(self, asked: DataFrame) -> DataFrame:
+        """(__own, __backup) of the keys, as members are typed: 36 and 36.0 are one key, but hash apart."""
+        return bloom.probe(asked.select(F.col("__own").alias("key")).where(F.col("key").isNotNull()), self.backup, self.m, self.k).select(F.col("key").alias("__own"), F.col("maybe").alias("__backup"))
 
     def graded(self, keys: DataFrame) -> DataFrame:
         """(key, grade): 1 for an example, .1 out of range, a clear score itself, else .7 at least with the backup and .3 at
@@ -225,12 +232,12 @@ class LearnedFilter:
         asked = keys.select("key").distinct()
         if self.model is None:
             return asked.withColumn("grade", F.lit(0.5))
-        scored = self.score(asked)
-        second = bloom.probe(asked, self.backup, self.m, self.k) if self.backup is not None else asked.withColumn("maybe", F.lit(False))
+        scored = self.score(asked).withColumn("__own", F.col("key").try_cast(self.key_type))
+        scored = scored.join(self._backed(scored), "__own", "left") if self.backup is not None else scored.withColumn("__backup", F.lit(False))
         x, score = F.col("key").cast("double"), F.col("score")
         grade = F.when(x.isin(self.examples), 1.0).when(~x.between(self.profile["lo"], self.profile["hi"]), 0.1)
-        grade = grade.when((score > 0.9) | (score < 0.1), score).when(F.col("maybe"), F.greatest(score, F.lit(0.7))).otherwise(F.least(score, F.lit(0.3)))
-        return scored.join(second, "key").select("key", grade.alias("grade"))
+        grade = grade.when((score > 0.9) | (score < 0.1), score).when(F.coalesce("__backup", F.lit(False)), F.greatest(score, F.lit(0.7))).otherwise(F.least(score, F.lit(0.3)))
+        return scored.select("key", grade.alias("grade"))
 
     def size_bytes(self) -> dict[str, int]:
         """Weights as 4-byte floats, the examples, and the backup's bits."""
@@ -242,14 +249,14 @@ class LearnedFilter:
             self.model.write().overwrite().save(f"{path}/model")
         if self.backup is not None:
             self.backup.write.mode("overwrite").parquet(f"{path}/backup")
-        _save_json(spark, path, {"profile": self.profile, "threshold": self.threshold, "examples": self.examples, "m": self.m, "k": self.k, "fpr": self.fpr, "trained": self.model is not None, "backup": self.backup is not None})
+        _save_json(spark, path, {"profile": self.profile, "threshold": self.threshold, "examples": self.examples, "m": self.m, "k": self.k, "fpr": self.fpr, "key_type": self.key_type, "trained": self.model is not None, "backup": self.backup is not None})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "LearnedFilter":
         p = _load_json(spark, path)
         model = PipelineModel.load(f"{path}/model") if p["trained"] else None
         backup = spark.read.parquet(f"{path}/backup") if p["backup"] else None
-        return cls(fpr=p["fpr"], threshold=p["threshold"], profile=p["profile"], examples=p["examples"], model=model, backup=backup, m=p["m"], k=p["k"])
+        return cls(fpr=p["fpr"], threshold=p["threshold"], key_type=p["key_type"], profile=p["profile"], examples=p["examples"], model=model, backup=backup, m=p["m"], k=p["k"])
 
 
 @dataclass
@@ -261,7 +268,7 @@ class LevelFilters:
     def train(self, log: DataFrame, thresholds: dict[int, float] | None = None, **options) -> "LevelFilters":
         """thresholds: by level; the others' are chosen on held-out rows."""
         for (level,) in log.where("level > 0").select("level").distinct().orderBy("level").collect():
-            members = log.where(F.col("level") == level).select(F.col("key").cast("double").alias("key"))
+            members = log.where(F.col("level") == level).select("key")
             self.filters[level] = LearnedFilter(**options).train(members, threshold=(thresholds or {}).get(level))
         return self
 

@@ -157,6 +157,8 @@ def test_filters_by_level(spark, tmp_path):
     made.save(spark, f"file://{tmp_path}/f")
     again = learned.LevelFilters.load(spark, f"file://{tmp_path}/f")
     assert {tuple(r) for r in again.get(log, keys).collect()} == exact and again.stats(spark).count() == 2
+    whole = keys.select(F.col("key").cast("long").alias("key"))  # 36 is 36.0
+    assert {(float(r[0]), *r[1:]) for r in made.get(log, whole).collect()} == exact
     one = made.filters[2]
     new = spark.range(300).select((F.col("id") * 50 + 90_000).cast("double").alias("key"))
     assert one.add(new).probe(new).where("NOT maybe").count() == 0
