@@ -11,15 +11,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tephra.llm import bpe, langid, mixing, ngram_join, suffix_array
-from tephra.llm.frames import documents
+from tephra.llm.frames import documents, unused
 from tephra.plans.tables import delete, new_folder, scope, written
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stage's rows with the columns of `docs`, of which those that the stage would replace go by another name meanwhile."""
+    p = unused(docs)
+    out = stage(docs.withColumnsRenamed({n: p + n for n in names if n in docs.columns}))
+    return out.select(*[F.col(f"`{p + c}`").alias(c) if c in names else F.col(f"`{c}`") for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which one known language has most of the words."""
-    return langid.identify(docs).where("accepted").select(*docs.columns)
+    return _aside(docs, ("language", "language_share", "n_words", "accepted", "run_start", "run_language"), lambda d: langid.identify(d).where("accepted"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +42,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows, by source in the target weights: documents are repeated or left out."""
-    return mixing.repeated(mixing.mix(docs))
+    return _aside(docs, ("copies",), lambda d: mixing.repeated(mixing.mix(d)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
