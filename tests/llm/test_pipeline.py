@@ -177,4 +177,4 @@ def test_names_that_stages_use_themselves(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/more/documents.parquet")
     out = corpus_pipeline.run(spark, f"{tmp_path}/more").collect()
     assert len(out) == 32
-    assert all(r[n] == "mine" for r in out for n in ("rid", "key", "__start", "__gone", "__part", "u", "h", "language", "accepted"))
+    assert all(r[n] == "mine" for r in out for n in ("rid", "key", "__start", "__gone", "__part", "u", "h", "language", "accepted", "copies"))
