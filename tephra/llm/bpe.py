@@ -15,6 +15,7 @@ import base64
 import re
 import sys
 import unicodedata
+from array import array
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -28,10 +29,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Entries of one generation of a worker's caches, two of which are kept, and the characters
 #: that an entry may have: some tens of MB in all. Longer pieces are encoded each time.
 #: Results don't depend on either.
-CACHE = 1 << 17
+CACHE = 300_000
 CACHED = 48
 #: Characters of text whose new words are encoded ahead together (one row at least).
-AHEAD = 1_000_000
+AHEAD = 2_000_000
 
 
 #: Numbers that aren't decimal digits: `re` takes them for letters.
@@ -70,7 +71,8 @@ class Vocabulary:
         for token in self.rank:
             if len(token) > self.reach.get(token[-3:], 2):
                 self.reach[token[-3:]] = len(token)
-        self.dtype = np.dtype("<u2") if max(self.bytes) < 65536 else np.dtype("<u4")
+        self.code = "H" if max(self.bytes) < 65536 else "I"
+        self.dtype = np.dtype(self.code)
         self._pair: dict[int, bool] = {}
         self._half: dict[int, tuple[int, int]] = {}
         self._joined: dict[int, int] = {}
@@ -172,14 +174,14 @@ class _Generations(dict):
             value = self.make(key)
             if len(key) > CACHED:
                 return value
+        self.turn()
         self[key] = value
         return value
 
-    def __setitem__(self, key, value):
+    def turn(self) -> None:
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
-        super().__setitem__(key, value)
 
 
 class Encoder:
@@ -193,7 +195,7 @@ class Encoder:
 
     def __init__(self, path: str = VOCABULARY):
         self.vocabulary = v = Vocabulary(path)
-        self._piece = _Generations(lambda piece: np.array(Prefixes(v, piece.encode("utf-8", "surrogatepass")).tokens(), v.dtype).tobytes())
+        self._piece = _Generations(lambda piece: array(v.code, Prefixes(v, piece.encode("utf-8", "surrogatepass")).tokens()).tobytes())
         self._segment = _Generations(self._new)
 
     def _new(self, s: str) -> bytes:
@@ -215,7 +217,8 @@ class Encoder:
             known[s]
         new = [s if s.isalpha() else s[:-1] for s in new if s not in old and (s.isalpha() or s[-1:] in (".", ",", "!") and s[:-1].isalpha())]
         new = sorted(" " + s for s in {*new} if s not in known and s not in old)
-        table, dtype, before = Prefixes(self.vocabulary), self.vocabulary.dtype, b""
+        table, code, before = Prefixes(self.vocabulary), self.vocabulary.code, b""
+        known.turn()
         for s in new:
             if len(s) > CACHED:
                 continue
@@ -228,7 +231,7 @@ class Encoder:
                 while before[i] == piece[i]:
                     i += 1
                 n = i
-            known[s[1:]] = np.array(table.truncate(n).append(piece[n:]).tokens(), dtype).tobytes()
+            known[s[1:]] = array(code, table.truncate(n).append(piece[n:]).tokens()).tobytes()
             before = piece
 
     def forget(self) -> None:
