@@ -135,12 +135,48 @@ def test_all_pairs_of_classes(spark):
     assert ngram_join.all_pairs(frame(spark, [])).count() == 0
 
 
-def test_query_gives_pairs_between_copies(spark, tmp_path):
+def test_query_gives_a_row_for_each_document(spark, tmp_path):
     one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(58))
-    frame(spark, [(i, one if i < 4 else two, "en", "s", 0) for i in range(6)]).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.query(spark, str(tmp_path)).collect()}
-    assert set(got) == set(itertools.combinations(range(6), 2))
-    assert all(v == (1 if (a < 4) == (b < 4) else pytest.approx(56 / 58)) for (a, b), v in got.items())
+    rows = [(i, one if i < 4 else two, "en", "s", 0) for i in range(6)] + [(9, "alone", "en", "s", 0), (10, None, "en", "s", 0), (11, "", "en", "s", 0), (None, one, "en", "s", 0), (0, one, "en", "s", 0)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in ngram_join.query(spark, str(tmp_path)).select("doc_id", "class_id", "links").collect())
+    assert got == [(i, 0, 5) for i in range(6)] + [(i, i, 0) for i in (9, 10, 11)]
+
+
+def test_classes_lose_no_link(spark):
+    rng, rows = random.Random(16), []
+    for g in range(6):
+        base = [f"w{g}x{rng.randint(0, 200)}" for _ in range(rng.choice([2, 3, 6, 40, 200]))]
+        for _ in range(6):
+            copy = [w if rng.random() > 0.05 else "new" + str(rng.randint(0, 9)) for w in base]
+            rows += [(len(rows) + k, " ".join(copy), "en", "s", 0) for k in range(rng.choice([1, 1, 4]))]
+    for more in ([], [rows[0], (rows[1][0], *rows[-1][1:]), (rows[2][0], *rows[-1][1:]), (None, *rows[0][1:]), (rows[5][0], *rows[-2][1:]), (999, None, "en", "s", 0)]):
+        df = frame(spark, rows + more)
+        same(ngram_join.classes(df, piece=2), sql(spark, df, ngram_join.classes_sql()))
+    assert ngram_join.classes(frame(spark, [])).count() == 0
+
+
+def test_frequent_ngrams_are_no_meeting_place():
+    """Signatures rely on several shared n-grams, so those that most texts have are dropped from prefixes."""
+    assert ngram_join.shared_at_least(0.6) == 12
+    m, k, rng = 12, ngram_join.SIGNATURE, np.random.default_rng(1)
+    for _ in range(300):  # sets of similarity 0.6 or a little more: the shared part is always seen
+        both, rest = rng.integers(1, 2**63, 300, dtype=np.uint64), rng.integers(1, 2**63, 200, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, x])) for x in (rest[:100], rest[100:]))
+        assert len(np.intersect1d(a[:k], b[:k])) >= m
+
+
+def test_few_pairs_are_looked_at_for_a_frequent_ngram(spark, monkeypatch):
+    rng = random.Random(3)
+    line = " ".join(f"c{i}" for i in range(20))
+    rows = [(i, line + " " + " ".join(f"v{rng.randint(0, 10**9)}" for _ in range(100)), "en", "s", 0) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " more", "en", "s", 0) for i in range(3)]
+    written, tables = ngram_join.written, []
+    monkeypatch.setattr(ngram_join, "written", lambda df: tables.append(written(df)) or tables[-1])
+    got = {(r.doc_id, r.class_id, r.links) for r in ngram_join.classes(frame(spark, rows)).where("links > 0").collect()}
+    assert got == {(x, i, 1) for i in range(3) for x in (i, 1000 + i)}
+    groups = next(t for t in tables if t.columns == ["key", "one", "two", "piece", "id"])
+    assert groups.groupBy("key", "one", "two").count().agg(F.max("count")).first()[0] < 100
 
 
 def test_tree_bound_never_drops_a_pair():
@@ -162,6 +198,25 @@ def test_tree_bound_never_drops_a_pair():
             assert (i, j) in found
 
 
+def test_small_groups_together_as_one_by_one():
+    rng = np.random.default_rng(7)
+    size, own, key = rng.integers(1, 9, 60), [], []
+    for k, c in enumerate(size):
+        base = rng.integers(1, 2**63, rng.integers(2, 900), dtype=np.uint64)
+        own += [np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(1, 2**63, 3, dtype=np.uint64)])) for _ in range(c)]
+        key += [int(np.unique(base)[0])] * c
+    signatures, packed, sizes = np.stack([ngram_join._signature(s) for s in own]), [ngram_join._vector(s) for s in own], np.array([len(s) for s in own])
+    piece, split = rng.integers(0, 2, len(own)), np.repeat(rng.random(len(size)) < 0.5, size)
+    expected, lo = set(), 0
+    for c in size:
+        at = slice(lo, lo + c)
+        for i, j in ngram_join._candidates(key[lo], signatures[at], packed[at], sizes[at], 0.6, piece[at] if split[lo] else None):
+            expected |= {(lo + min(a, b), lo + max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+        lo += c
+    i, j = ngram_join._of_small(size, np.array(key, np.uint64), signatures, packed, sizes, 0.6, split, piece)
+    assert set(zip(i.tolist(), j.tolist())) == expected and len(expected) > 50
+
+
 def test_heavy_ngrams_are_split(spark, monkeypatch):
     rng, rows = random.Random(9), []
     common = " ".join(f"c{i}" for i in range(30))
