@@ -208,6 +208,7 @@ class Family:
         self.start = np.array([s.at - o for s in members], np.int64)
         self.doc = np.array([s.doc or 0 for s in members], np.int64)
         self.known = np.array([s.doc is not None for s in members])
+        self._changes = np.concatenate([[0], np.cumsum(self.before[1:] != self.before[:-1])]).tolist()
         self._begins: dict[bytes, bool] = {}
         self.rank = np.empty(len(members), np.int64)
         self.rank[np.lexsort((self.rid, self.start, self.doc, self.known))] = np.arange(len(members))
@@ -216,8 +217,7 @@ class Family:
         """Whether suffixes lo to hi, that share `depth` words, are a repeat that is to be reported here."""
         if self.o + depth < words:
             return False
-        before = self.before[lo : hi + 1]
-        if not (before != before[0]).any():
+        if self._changes[lo] == self._changes[hi]:
             return False
         window = self.members[lo].right[: words - self.o].tobytes()
         if window not in self._begins:

@@ -56,6 +56,22 @@ def groups(rows):
     return [(n, tuple(sorted(places, key=repr))) for (_, n), places in found.items()]
 
 
+def unnested(rows):
+    """[(n_words, occurrences)] of rows that give each place once."""
+    own, above, size, count = defaultdict(set), {}, {}, {}
+    for r in rows:
+        own[r.repeat_hash] |= {(r.rid, r.doc_id, r.start + t) for t in range(r.times)}
+        above[r.repeat_hash], size[r.repeat_hash], count[r.repeat_hash] = r.parent, r.n_words, r.occurrences
+    every = {h: set(p) for h, p in own.items()}
+    for h, places in own.items():
+        while above[h] is not None:
+            assert size[above[h]] < size[h]
+            h = above[h]
+            every[h] |= places
+    assert all(len(every[h]) == count[h] for h in every)
+    return [(size[h], tuple(sorted(((d, i) for _, d, i in places), key=repr))) for h, places in every.items()]
+
+
 def sample(seed):
     rng = random.Random(seed)
     vocabulary = ["a", "b", "c", "dé", "e", "f"][: rng.choice([1, 2, 3, 6])]
@@ -84,6 +100,7 @@ def test_against_enumeration(spark, seed):
             got = suffix_array.repeats(frame(spark, rows), least, memory).collect()
             assert set(groups(got)) == expected
             assert len(groups(got)) == len(expected) == len({r.repeat_hash for r in got})
+            assert sorted(unnested(suffix_array.nested(frame(spark, rows), least, memory).collect())) == sorted(groups(got))
             tree = suffix_tree.repeats(frame(spark, rows), least, memory).collect()
             assert {(r.doc_id, r.start): r.n_words for r in tree} == cuts(expected)
 
@@ -124,6 +141,19 @@ def test_anchors_past_24_bits_of_words():
         assert (chosen[some] == start[some] + windows[start[some]].argmin(1)).all()
 
 
+def test_rows_of_nested_repeats_grow_with_places(spark, tmp_path):
+    """Passages that end one word after the other: each is a repeat in all that are longer."""
+    passage = [f"p{i}" for i in range(140)]
+    rows = [(d, " ".join([f"a{d}", *passage[: 60 + d], f"b{d}"])) for d in range(70)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffix_array.query(spark, str(tmp_path)).collect()
+    full = groups(suffix_array.repeats(frame(spark, rows)).collect())
+    assert sorted(unnested(got)) == sorted(full) and sum(len(p) for _, p in full) > 2000
+    assert len(got) <= 2 * len(rows)
+    assert {r.doc_id for r in got} == set(range(70))
+    assert suffix_array.nested(frame(spark, [])).count() == 0
+
+
 def test_names_that_the_operator_uses_itself(spark):
     passage = " ".join(f"p{i}" for i in range(12))
     df = frame(spark, [(1, "x " + passage), (2, "y " + passage)])
