@@ -236,3 +236,11 @@ def test_console(spark, tmp_path):
     say("reset")
     say("switch exact")
     assert say("get 7")[1] == "absent" and say("exit")[0] is True
+
+
+def test_a_record_file_in_a_new_folder(spark, tmp_path):
+    from tephra.sources import files
+
+    for path in (f"{tmp_path}/new/one.bin", f"file://{tmp_path}/newer/still/two.bin"):
+        files.write_records([(1.5, "a"), (-2.0, "")], path)
+        assert {(r["key"], r["value"]) for r in files.read_records(spark, path).collect()} == {(1.5, "a"), (-2.0, "")}
