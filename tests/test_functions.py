@@ -147,6 +147,15 @@ def test_membership_with_hard_negatives_and_files(spark, tmp_path):
     assert len(one.models) == 1 and one.predict(rows).where("label = 1 AND NOT maybe").count() < 60
 
 
+def test_membership_of_more_rows_than_are_fitted(spark):
+    rows = spark.range(6000).selectExpr("cast(id AS double) AS key", "cast(id % 2 AS double) AS label")
+    model = learned.MembershipModel(trees=2, depth=2, most=3000).train(rows, mine_hard=False)
+    members = rows.where("label = 1")
+    assert 0 < model.threshold and model.predict(members).where("maybe").count() > 0.9 * 3000
+    few = learned.MembershipModel(trees=2, depth=2).train(rows.where("key < 5"), mine_hard=False)  # none may be held out
+    assert few.predict(members.where("key < 5")).where("maybe").count() == 2
+
+
 def test_filters_by_level(spark, tmp_path):
     log = spark.range(500).selectExpr("cast(id * 3 AS double) AS key", "concat('v', id) AS value", "id AS seq", "id % 11 = 0 AS is_deleted", "cast(id % 3 AS int) AS level", "cast(id % 3 AS long) AS run_id")
     keys = spark.range(1600).select(F.col("id").cast("double").alias("key"))
