@@ -156,6 +156,17 @@ def test_membership_of_more_rows_than_are_fitted(spark):
     assert few.predict(members.where("key < 5")).where("maybe").count() == 2
 
 
+def test_filter_of_more_rows_than_are_fitted(spark):
+    members = spark.range(3000).selectExpr("cast(id * 2 AS double) AS key")
+    others = members.selectExpr("key + 1 AS key")
+    for n in (6000, 6):  # of six rows, none may be held out
+        yes, no = members.where(f"key < {n}"), others.where(f"key < {n}")
+        made = learned.LearnedFilter(epochs=3, most=3000).train(yes, no)
+        assert 0 <= made.threshold <= 1 and made.probe(yes).where("maybe").count() == n // 2
+    more = made.add(others).probe(others)
+    assert more.where("maybe").count() == 3000
+
+
 def test_filters_by_level(spark, tmp_path):
     log = spark.range(500).selectExpr("cast(id * 3 AS double) AS key", "concat('v', id) AS value", "id AS seq", "id % 11 = 0 AS is_deleted", "cast(id % 3 AS int) AS level", "cast(id % 3 AS long) AS run_id")
     keys = spark.range(1600).select(F.col("id").cast("double").alias("key"))
