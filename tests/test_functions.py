@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tephra.functions import bloom, features, values
+from tephra.functions.quantiles import quantiles
 from tephra.operators import evaluation, learned, pruning, reads, stats
 from tephra.plans import log as L
 
@@ -53,6 +54,23 @@ def test_thresholds(spark):
     assert none.where("tp + fp + fn + tn > 0").count() == 0
 
 
+def test_quantiles_are_exact(spark):
+    keys = [(float(i * i % 7919), i % 3 if i % 3 else None) for i in range(9000)] + [(None, 1), (None, 5)]
+    rows = spark.createDataFrame(keys, "key double, kind int").repartition(5)
+    shares = (0.001, 0.1, 0.25, 0.5, 0.9, 1.0)
+
+    def plain(of):
+        own = sorted(k for k, kind in keys if k is not None and kind in of)
+        return [own[max(1, math.ceil(round(s * len(own), 6))) - 1] for s in shares]
+
+    for accuracy in (20, 500, 100_000):
+        assert quantiles(rows, "key", shares, accuracy=accuracy).first()["quantiles"] == plain((None, 1, 2))
+        assert {r["kind"]: r["quantiles"] for r in quantiles(rows, "key", shares, ("kind",), accuracy).collect()} == {k: plain((k,)) for k in (None, 1, 2)}
+        assert features.key_profile(rows, accuracy)["quantiles"] == [x for s, x in zip((0.1, 0.25, 0.5, 0.75, 0.9), [*plain((None, 1, 2))[1:4], features.key_profile(rows)["quantiles"][3], plain((None, 1, 2))[4]])]
+    stats = {r["kind"]: (r["n"], r["median"]) for r in evaluation.latency_stats(rows, "kind", "key", 20).collect()}
+    assert stats == {5: (0, None)} | {k: (3000, plain((k,))[3]) for k in (None, 1, 2)}
+
+
 def test_pages(spark):
     pages = L.paged(spark.range(200).selectExpr("id * 2 AS key", "'v' AS value", "id AS seq", "false AS is_deleted"))
     found = reads.page_of(spark.range(400).select(F.col("id").alias("key")), pages)
