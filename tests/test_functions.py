@@ -206,6 +206,12 @@ def test_filters_by_level(spark, tmp_path):
     assert learned.LearnedFilter().graded(keys).where("grade <> 0.5").count() == 0
 
 
+def test_filters_of_levels_of_more_keys_than_are_fitted(spark):
+    log = spark.range(3000).selectExpr("id * 2 AS key", "'v' AS value", "id AS seq", "false AS is_deleted", "cast(1 + id % 2 AS int) AS level")
+    made = learned.LevelFilters().train(log, {1: 0.6}, epochs=3, most=1200)
+    assert made.get(log, log.select("key")).where("found").count() == 3000
+
+
 def test_page_predictor(spark):
     pages = L.paged(spark.range(300).selectExpr("id AS key", "'v' AS value", "id AS seq", "false AS is_deleted")).select(F.col("key").cast("double").alias("key"), "page_id")
     made = learned.PagePredictor(trees=5).train(pages)
