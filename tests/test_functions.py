@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tephra.functions import bloom, features, values
+from tephra.functions import bloom, features, sliced, values
 from tephra.functions.quantiles import quantiles
 from tephra.operators import evaluation, learned, pruning, reads, stats
 from tephra.plans import log as L
@@ -117,6 +117,29 @@ def test_pruned_reads(spark):
     assert pruning.model_threshold(0.12, 1) == 0.1 and pruning.prefilter_threshold(9) == 0.5
 
 
+@pytest.mark.parametrize("kind", ["double", "long", "decimal(12,2)"])
+@pytest.mark.parametrize("most", [sliced.SLICED, 60])
+def test_filters_of_many_runs_at_once(spark, monkeypatch, kind, most):
+    monkeypatch.setattr(sliced, "SLICED", most)  # 60: larger filters go by a join on positions
+    monkeypatch.setattr(sliced, "BLOCK_BITS", 1 << 14)  # blocks of 64 runs
+    log = spark.range(4000).selectExpr(f"cast(pmod(hash(id), 1500) - 100 AS {kind}) AS key", "concat('v', id) AS value", "id AS seq", "id % 7 = 0 AS is_deleted", "cast(least(2, id div 400) AS int) AS level", "id div 20 AS run_id").cache()
+    keys = spark.range(-200, 1700).selectExpr(f"cast(id AS {kind}) AS key").union(spark.sql(f"SELECT cast(x AS {kind}) FROM VALUES (NULL), (3) t(x)"))
+    runs, bits = pruning.run_filters(log)
+    every = pruning.checked(keys, runs, bits).cache()
+    made = pruning.RunFilters(log)
+    assert (made.rest is not None) == (most == 60 or kind[:3] == "dec")
+    checks = made.checks(keys).cache()
+    assert checks.dtypes == every.dtypes and checks.count() == every.count() == 1900 * 200
+    assert checks.exceptAll(every).isEmpty() and 0 < checks.where("maybe").count() < checks.where("in_bounds").count() < checks.count()
+    held = made.held(keys)
+    assert held.exceptAll(every.where("maybe")).isEmpty() and held.count() == log.select("key", "run_id").distinct().count()
+    for by in (("level",), ("level", "run_id")):
+        one, other = made.counters(keys, by), pruning.read_counters(log, every, by)
+        assert one.columns == other.columns and sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, other.collect()), key=repr)
+    assert made.counters(keys.limit(0)).count() == made.checks(keys.limit(0)).count() == 0
+    assert pruning.pruned_get(log, keys, held).exceptAll(reads.multi_get(log, keys)).isEmpty()
+
+
 def test_stats(spark):
     empty = spark.createDataFrame([], "key long, value string, seq long, is_deleted boolean, level int, run_id long")
     assert stats.level_state(empty).where("NOT is_empty").count() == 0 and stats.run_stats(empty).count() == 0
