@@ -277,6 +277,27 @@ def test_samples_gathered_while_writing(spark, tmp_path):
     assert set(learned.LevelModels.load(spark, f"file://{tmp_path}/models").membership) == {0, 1}
 
 
+def test_training_sets_gather_no_level(spark):
+    from tephra.operators import workloads
+
+    log = spark.range(60_000).selectExpr("cast(id AS double) AS key", "cast(0 AS int) AS level")
+    made = workloads.membership_set(log, 100)
+    rows = made.collect()
+    assert sum(r["label"] for r in rows) == 100 and not any(r["label"] == 0 and r["key"] in range(60_000) for r in rows)
+
+    def gathered(p) -> list[int]:
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return gathered(p.executedPlan())
+        if "QueryStage" in name:
+            return gathered(p.plan())
+        own = [p.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else []
+        return own + [n for i in range(p.children().size()) for n in gathered(p.children().apply(i))]
+
+    told = gathered(made._jdf.queryExecution().executedPlan())
+    assert told and max(told) < 1000
+
+
 def test_models_by_level(spark):
     from tephra.operators import workloads
 
