@@ -166,6 +166,19 @@ def test_frequent_ngrams_are_no_meeting_place():
         assert len(np.intersect1d(a[:k], b[:k])) >= m
 
 
+def test_pairs_of_a_large_cluster_are_summed_where_they_are_found(spark, monkeypatch):
+    """301 near copies have about 45,000 pairs; no table that is written has a row for each."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[:100], f"x{i}", *base[101:]]), "en", "s", 0) for i in range(300)] + [(900, " ".join(base[:9]), "en", "s", 0)]
+    df = frame(spark, rows + rows[:5] + [(300, *rows[0][1:])])
+    written, tables = ngram_join.written, []
+    monkeypatch.setattr(ngram_join, "written", lambda df: tables.append(written(df)) or tables[-1])
+    got = ngram_join.classes(df)
+    left = sorted(r.doc_id for r in ngram_join.one_of_each(df).collect())
+    assert max(t.count() for t in tables) < 22_000 and left == [0, 0, 900]
+    same(got, sql(spark, df, ngram_join.classes_sql()))
+
+
 def test_few_pairs_are_looked_at_for_a_frequent_ngram(spark, monkeypatch):
     rng = random.Random(3)
     line = " ".join(f"c{i}" for i in range(20))
